@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts: ``[\x20\x09-\x0D]``; ``bytes.split()`` splits on the same set.
@@ -125,3 +125,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         moved = edges.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
         edges = scratch.save(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-e{k}")
     return found
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, scratch: Scratch, *, rows: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``rows`` texts with labels to learn from: ``(_text, _label int, _part int)``, dealt into few parts.
+
+    Rows with crc32(id as text) mod 4 = 2 are held out and never used. The rows are those with the smallest
+    hash of their id, so the sample is the same every time; it is bounded and may be broadcast.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
+    chosen = known.groupBy(F.col(id_col).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
+    chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    found = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_key")
+    return scratch.save(found.select("_text", "_label", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(10)).cast("int").alias("_part")), name)
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether crc32(id as text) mod 4 is 2; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

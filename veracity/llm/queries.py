@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import held_out
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
+from .packing import pack
+from .quality_classifier import fit_quality, quality_score
+from .secrets import secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).decisions
 
 
+def _with_crc(rows: DataFrame) -> DataFrame:
+    """``ids_crc32`` in place of the ids themselves."""
+
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.drop_columns(["ids"]).append_column("ids_crc32", pa.array([zlib.crc32(x) for x in b["ids"].to_pylist()], pa.int64()))
+
+    return rows.mapInArrow(crc, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"] + ["ids_crc32 long"]))
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_crc(pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality_score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents")).classes
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_exact_dedup, op9_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_exact_dedup, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join)}
 
 #: DuckDB's statement of a query's rows, where SQL can express it.
 SQL: dict[str, str] = {
