@@ -15,13 +15,19 @@ from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_classifier import fit_quality, quality_score
+from .quality_rules import quality_rules
 from .secrets import secret_scan
+from .wavelet import read_shards, write_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +61,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents")).classes
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_exact_dedup, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join)}
+def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_crc(read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op5_exact_dedup, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join, op10_wavelet_tokens)}
 
 #: DuckDB's statement of a query's rows, where SQL can express it.
 SQL: dict[str, str] = {
