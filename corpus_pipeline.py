@@ -43,7 +43,7 @@ def _scratch(spark: SparkSession) -> Scratch:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch=_scratch(spark))
-    return docs.withColumn("_score", quality_score(model, docs)).where(F.col("_score") >= KEEP_FROM).select(docs.columns)
+    return docs.where(quality_score(model, docs) >= KEEP_FROM)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +56,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _scratch(spark)
-    out = docs.withColumn("_text", masked())
+    new = "_" + "_".join(docs.columns)  # a name that no column has
+    out = docs.withColumn(new, masked())
     if "n_chars" in docs.columns:
-        changed = F.col("_text") != F.col("text")
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(docs.columns)
+        size = F.char_length(new).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(new) != F.col("text"), size).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
