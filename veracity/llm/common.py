@@ -8,6 +8,7 @@ cut lineage, so a lost executor costs the tasks of one stage only.  They stay un
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -143,3 +144,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, scratch: Scr
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32(id as text) mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are out of use; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_scores
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_classifier import fit_quality, quality_score
 from .quality_rules import quality_rules
 from .secrets import secret_scan
+from .segmentation import crc32, segment
+from .toxicity import fit_toxicity, severity
 from .wavelet import read_shards, write_shards
 
 
@@ -28,14 +31,39 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment(_table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = pa.array([crc32(x) for x in b["ids"].to_pylist()], pa.int64())
+            ways = b["nbest"].to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["n_tokens"], best, b["score"], pa.array([len(w) for w in ways], pa.int32()), pa.array([w[-1]["score"] for w in ways]), pa.array([",".join(str(crc32(x["ids"])) for x in w) for w in ways]), b["round_trip"]],
+                names=["doc_id", "n_tokens", "ids_crc32", "score", "n_best", "last_score", "nbest_crc32", "round_trip"],
+            )
+
+    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, score double, n_best int, last_score double, nbest_crc32 string, round_trip boolean")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).decisions
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return severity(fit_toxicity(docs, _table(spark, sf_dir, "labels")), docs)
+
+
 def _with_crc(rows: DataFrame) -> DataFrame:
     """``ids_crc32`` in place of the ids themselves."""
 
@@ -65,10 +93,36 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_crc(read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op5_exact_dedup, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join, op10_wavelet_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_nbest, op3_secret_scan, op4_lm_scoring, op5_exact_dedup, op6_toxicity, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join, op10_wavelet_tokens)}
 
 #: DuckDB's statement of a query's rows, where SQL can express it.
 SQL: dict[str, str] = {
+    "op4_lm_scoring": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        g AS (
+            SELECT doc_id, i, w AS c, lag(w) OVER p AS b, lag(w, 2) OVER p AS a
+            FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+        n AS (
+            SELECT doc_id, i,
+                   count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS n1,
+                   count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) AS n2,
+                   count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) AS n3,
+                   count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS rest
+            FROM g),
+        m AS (
+            SELECT *, lag(n1) OVER p AS m1, lag(n2) OVER p AS m2, least(i - 1, 2) AS longest
+            FROM n WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (
+            SELECT doc_id, CASE
+                WHEN i >= 3 AND n3 > 0 THEN log10(n3 / m2)
+                WHEN i >= 2 AND n2 > 0 THEN log10(n2 / m1) + (longest - 1) * log10(0.4)
+                WHEN n1 > 0 THEN log10(n1 / rest) + longest * log10(0.4)
+                ELSE log10(1 / greatest(rest, 1)) + (longest + 1) * log10(0.4) END AS v
+            FROM m)
+        SELECT d.doc_id, count(v) AS n_words, round(coalesce(sum(v), 0), 4) AS log10_score
+        FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(length(text), 0) AS n,
