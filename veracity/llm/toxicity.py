@@ -1,11 +1,12 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-Severity grades are 0 (not toxic), 1 (toxic) and 2 (toxic, marked words dense). Labels say only whether a text
+Severity grades are 0 (not toxic), 1 (toxic) and 2 (toxic, many marked words). Labels say only whether a text
 is toxic, so the upper grade is derived: words whose presence goes with the toxic label (signed chi-squared
-above ``chi2``) are markers, and a toxic text with more than the median share of them has grade 2.
+above ``chi2``) are markers, and a toxic text with more of them than the median toxic text that has any is of grade 2.
 
-P(grade <= k) = logistic(threshold_k - w.x): one weight a word, shared by all ordered thresholds. Features are
-log(1 + count) of the chosen words. Learnt from a bounded labelled sample (``rows`` texts, ``words`` words, both
+Words count whole and by their first five, six and seven letters, which unites the inflected and compound
+forms of a stem. P(grade <= k) = logistic(threshold_k - w.x): one weight a word, shared by all ordered thresholds. Features are
+1 + log(count) of the chosen words. Learnt from a bounded labelled sample (``rows`` texts, ``words`` words, both
 parameters; rows with crc32(id) mod 4 = 2 never); scoring reads every whole text in one pass.
 """
 
@@ -24,6 +25,25 @@ from pyspark.sql import functions as F
 from .common import Scratch, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
+STEMS = (5, 6, 7)
+
+
+def forms(word: str) -> list[str]:
+    """The word and its stems, which end in a star."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+class Places(dict):
+    """Word -> places of its chosen forms among the features; most words have none."""
+
+    def __init__(self, chosen: list[str]):
+        self.at = {w: i for i, w in enumerate(chosen)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = x = tuple(self.at[f] for f in forms(word) if f in self.at)
+        return x
 
 
 @dataclass
@@ -37,17 +57,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds, -40, 40)))
 
 
-def features(text: str | None, at: dict[str, int]) -> np.ndarray:
-    x = np.zeros(len(at), np.float32)
-    for w, n in Counter(w for w in WORD.findall((text or "").lower()) if w in at).items():
-        x[at[w]] = np.log1p(n)
-    return x
+def features(text: str | None, places: Places) -> np.ndarray:
+    """1 + log(count) of every chosen word or stem that the text has."""
+    x = np.zeros(len(places.at), np.float32)
+    for own in map(places.__getitem__, WORD.findall((text or "").lower())):
+        for i in own:
+            x[i] += 1
+    return np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0).astype(np.float32)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, *, decay: float = 1e-3, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, *, decay: float = 3e-5, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by Adam on the likelihood; thresholds are a first one and log gaps."""
     k = grades - 1
     above = np.array([(grade >= g + 1).mean() for g in range(k)]).clip(1e-3, 1 - 1e-3)
+    # a grade that no row has keeps a high threshold
     start = np.maximum.accumulate(np.log((1 - above) / above))
     p = np.r_[np.zeros(x.shape[1]), start[0], np.log(np.maximum(np.diff(start), 0.1))]
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -72,13 +95,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, word
     with either, the model has thresholds only and gives every text the sample's toxic share."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    sample = labelled_sample(docs, labels, label, scratch, rows=rows, name="sample")
+    sample = labelled_sample(docs, labels, label, scratch, rows=rows, name="sample").dropDuplicates(["_text", "_label"])  # copies would make chance words look telling
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             for t, y in zip(b["_text"].to_pylist(), b["_label"].to_pylist(), strict=True):
-                n[int(y == 1)].update(set(WORD.findall((t or "").lower())))
+                n[int(y == 1)].update({f for w in set(WORD.findall((t or "").lower())) for f in forms(w)})
             every = n[0] | n[1]
             yield pa.RecordBatch.from_pydict({"word": pa.array(every, pa.string()), "clean": pa.array((n[0][w] for w in every), pa.int64()), "toxic": pa.array((n[1][w] for w in every), pa.int64())})
 
@@ -94,20 +117,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, word
     chosen = counts.where((F.col("a") + F.col("b") >= 5) & (F.col("a") + F.col("b") < n)).select("word", score.alias("s"), (cross > 0).alias("up"))
     found = chosen.where(F.col("s") >= chi2).orderBy(F.desc("s"), "word").limit(words).collect()
     vocabulary = [r["word"] for r in found]
-    at = {w: i for i, w in enumerate(vocabulary)}
     marks = np.array([r["up"] for r in found], bool)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, markers = Places(vocabulary), Places([w for w, up in zip(vocabulary, marks, strict=True) if up])
         for b in batches:
             texts = b["_text"].to_pylist()
-            yield pa.RecordBatch.from_pydict({"x": pa.array([features(t, at).tobytes() for t in texts], pa.binary()), "n": pa.array([len(WORD.findall(t or "")) for t in texts], pa.int64()), "y": b["_label"]})
-
-    got = sample.mapInArrow(rows_of, "x binary, n long, y int").toPandas().sort_values(["x", "n", "y"])
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(len(got), len(at)).astype(np.float64)
-    bad = got["y"].to_numpy() == 1
-    density = np.expm1(x[:, marks]).sum(1) / np.maximum(got["n"].to_numpy(), 1)
-    grade = np.where(bad, 1 + (density > np.median(density[bad])), 0)
-    grade = grade if (grade == 2).any() else np.where(bad, 1 + (np.arange(len(bad)) % 2), 0)
+            hits = [sum(bool(markers[w]) for w in WORD.findall((t or "").lower())) for t in texts]
+            yield pa.RecordBatch.from_pydict({"x": pa.array([features(t, places).tobytes() for t in texts], pa.binary()), "hits": pa.array(hits, pa.int64()), "y": b["_label"]})
+
+    got = sample.mapInArrow(rows_of, "x binary, hits long, y int").toPandas().sort_values(["x", "hits", "y"])
+    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(len(got), len(vocabulary)).astype(np.float64)
+    bad, hits = got["y"].to_numpy() == 1, got["hits"].to_numpy()
+    marked = hits[bad & (hits > 0)]
+    grade = np.where(bad, 1 + (hits > (np.median(marked) if len(marked) else 0)), 0)
     weights, thresholds = fit_ordinal(x, grade, 3)
     return OrdinalModel(vocabulary, weights, thresholds)
 
@@ -122,11 +145,11 @@ def severity(model: OrdinalModel, docs: DataFrame, *, id_col: str = "doc_id", te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        at = {w: i for i, w in enumerate(model.words)}
+        places = Places(model.words)
         for b in batches:
-            x = np.zeros((b.num_rows, len(at)))
+            x = np.zeros((b.num_rows, len(model.words)))
             for i, t in enumerate(b["_text"].to_pylist()):
-                x[i] = features(t, at)
+                x[i] = features(t, places)
             above = model.grades(x)
             each = -np.diff(np.c_[np.ones(len(x)), above, np.zeros(len(x))], axis=1)
             yield pa.RecordBatch.from_pydict({id_col: b["_id"], "severity": pa.array(above.sum(1)), "p_toxic": pa.array(above[:, 0]), "grade": pa.array(each.argmax(1).astype(np.int32)), "toxic": pa.array(above[:, 0] >= 0.5)})
