@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, as_bytes, numbered, spread
 
-#: Lengths of the successive chunks that split groups: 8 bytes, then four times as many each time.
-FIRST, GROWTH = 8, 4
+#: Lengths of the successive chunks that split groups: 32 bytes, then four times as many each time.
+FIRST, GROWTH = 32, 4
 
 
 def squeeze(text: bytes) -> bytes:
@@ -76,7 +76,7 @@ class Deduped:
     kept: DataFrame
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, heavy_rows: int = 20_000, heavy_bytes: int = 64 << 20, task_bytes: int = 24 << 20, scratch: Scratch | None = None) -> Deduped:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, heavy_rows: int = 4_000, heavy_bytes: int = 32 << 20, task_bytes: int = 24 << 20, scratch: Scratch | None = None) -> Deduped:
     """Finds equal texts; of each group the longest original, then the smallest id (null last) stays.
 
     Decisions: id, keep_id, group_size, kept, text_sha256.  A null text is an empty one, so all null and
