@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Iterable, Iterator
@@ -147,6 +148,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are out of use; else they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of frames that are out of use; else they stay until the driver collects its
+    garbage. Deletion follows on its own; a second round takes what the first has made free."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batches cut smaller, so what is made of one at a time stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

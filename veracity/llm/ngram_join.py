@@ -218,7 +218,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 left, right = [], []
         yield _edges(left, right)
 
-    rows = spread(spark, 0, 1)
+    rows = spread(spark, reps.agg(F.sum("_size")).first()[0] or 0, 2_000_000)  # tasks of two million shingles
     edges = dealt.repartition(rows, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(prune, "a long, b long")
     near = components(edges, scratch, "near")
 

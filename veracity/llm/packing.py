@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, spread
+from .common import Scratch, numbered, slices, spread
 from .tokens import Encoder, read_spec
 
 DIMS, BITS, HASHED = 4, 12, 4096
@@ -56,8 +56,9 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, drops_space: bool = True, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Pieces of documents in sequences: id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, drops_space: bool = True, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Pieces of documents in sequences: id, start, length, ids (32-bit little-endian), ids_crc32, doc_tokens,
+    sequence_id, offset. Without ``with_ids`` the ids themselves stay out.
 
     ``tokenizer`` is the path of a tokenizer file on the driver. A null text is an empty one: its document is the
     end id alone. Repeated rows are packed as often as they occur; an empty table gives no piece. Other columns
@@ -70,9 +71,9 @@ def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, d
     ids = own.schema["_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value, drops_space=drops_space)
-        for b in batches:
-            tokens = [encoder(t, (end,)) for t in b["_text"].to_pylist()]
+        encoder = Encoder.shared(spec.value, drops_space=drops_space)
+        for b in slices(batches):
+            tokens = list(encoder.many(b["_text"].to_pylist(), (end,)))
             points = [project(np.frombuffer(t, "<u2")) for t in tokens]
             key = hilbert_key(np.stack(points)) if points else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"_rid": b["_rid"], "_id": b["_id"], "_key": pa.array(key), "_n": pa.array([len(t) // 2 for t in tokens], pa.int64()), "_ids": pa.array(tokens, pa.binary())})
@@ -88,7 +89,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, d
             at = int(stop[-1]) if len(n) else at
 
     order = ["_key", "_id", "_rid"]
-    curve = encoded.select(*order, "_n").repartitionByRange(spread(spark, 0, 1), *order).sortWithinPartitions(*order)
+    curve = encoded.select(*order, "_n").repartitionByRange(spread(spark, encoded.count(), 2_000_000), *order).sortWithinPartitions(*order)
     laid = scratch.save(curve.mapInArrow(lay, "_rid long, _part long, _at long, _m long"), "laid")  # written: ranges are sampled
     base, before = {}, 0
     for r in laid.groupBy("_part").agg(F.sum("_m").alias("n")).orderBy("_part").collect():  # one row a partition
@@ -96,8 +97,8 @@ def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, d
         before += r["n"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, start, size, piece, sequence, offset, total = [], [], [], [], [], [], []
+        for b in slices(batches):
+            row, start, size, piece, crc, sequence, offset, total = [], [], [], [], [], [], [], []
             for k, (raw, part, at) in enumerate(zip(b["_ids"].to_pylist(), b["_part"].to_pylist(), b["_at"].to_pylist(), strict=True)):
                 x, at = np.frombuffer(raw, "<u2").astype("<u4"), base[part] + at
                 done = 0
@@ -106,23 +107,23 @@ def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, d
                     row.append(k)
                     start.append(done)
                     size.append(n)
-                    piece.append(x[done : done + n].tobytes())
+                    own = x[done : done + n].tobytes()
+                    crc.append(zlib.crc32(own))
+                    if with_ids:
+                        piece.append(own)
                     sequence.append((at + done) // length)
                     offset.append((at + done) % length)
                     total.append(len(x))
                     done += n
             long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_pydict({id_col: b["_id"].take(long(row)), "start": long(start), "length": long(size), "ids": pa.array(piece, pa.binary()), "doc_tokens": long(total), "sequence_id": long(sequence), "offset": long(offset)})
+            ids_ = {"ids": pa.array(piece, pa.binary())} if with_ids else {}
+            yield pa.RecordBatch.from_pydict({id_col: b["_id"].take(long(row)), "start": long(start), "length": long(size), **ids_, "ids_crc32": long(crc), "doc_tokens": long(total), "sequence_id": long(sequence), "offset": long(offset)})
 
     placed = encoded.select("_rid", "_id", "_ids").join(laid, "_rid")
-    return placed.select("_id", "_ids", "_part", "_at").mapInArrow(cut, f"`{id_col}` {ids}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.select("_id", "_ids", "_part", "_at").mapInArrow(cut, f"`{id_col}` {ids}, start long, length long, {'ids binary, ' if with_ids else ''}ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
     """Whole sequences from their pieces: sequence_id, ids (32-bit little-endian); each is at most one length of ids."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

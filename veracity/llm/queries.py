@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from .packing import pack
 from .quality_classifier import fit_quality, quality_score
 from .quality_rules import quality_rules
 from .secrets import secret_scan
-from .segmentation import crc32, segment
+from .segmentation import segment
 from .toxicity import fit_toxicity, severity
 from .wavelet import read_shards, write_shards
 
@@ -32,18 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment(_table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            best = pa.array([crc32(x) for x in b["ids"].to_pylist()], pa.int64())
-            ways = b["nbest"].to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["n_tokens"], best, b["score"], pa.array([len(w) for w in ways], pa.int32()), pa.array([w[-1]["score"] for w in ways]), pa.array([",".join(str(crc32(x["ids"])) for x in w) for w in ways]), b["round_trip"]],
-                names=["doc_id", "n_tokens", "ids_crc32", "score", "n_best", "last_score", "nbest_crc32", "round_trip"],
-            )
-
-    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, score double, n_best int, last_score double, nbest_crc32 string, round_trip boolean")
+    return segment(_table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,18 +51,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(fit_toxicity(docs, _table(spark, sf_dir, "labels")), docs)
 
 
-def _with_crc(rows: DataFrame) -> DataFrame:
-    """``ids_crc32`` in place of the ids themselves."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.drop_columns(["ids"]).append_column("ids_crc32", pa.array([zlib.crc32(x) for x in b["ids"].to_pylist()], pa.int64()))
-
-    return rows.mapInArrow(crc, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids"] + ["ids_crc32 long"]))
-
-
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_crc(pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json")))
+    return pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +67,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_crc(read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))))
+    return read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json")), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentencepiece_nbest, op3_secret_scan, op4_lm_scoring, op5_exact_dedup, op6_toxicity, op7_hilbert_packing, op8_quality_classifier, op9_ngram_join, op10_wavelet_tokens)}

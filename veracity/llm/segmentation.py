@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE_SIGN = "▁"
 UNIT = 1_000_000
 
@@ -133,73 +134,228 @@ class Pieces:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
+#: Units up to this length are searched many at once.
+SHORT = 40
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lattices:
+    """Forward and backward passes over all units of one length at once, by the same rules as ``Pieces.best``.
+
+    Pieces are found by a rolling hash of their characters: a bitmap tells most other substrings apart, and a binary
+    search over the 64-bit hashes decides.
+    """
+
+    def __init__(self, pieces: Pieces):
+        by_hash = sorted((self._hash(p), i, pieces.scores[p]) for p, i in pieces.ids.items())
+        self.hashes = np.array([x[0] for x in by_hash], np.uint64)
+        self.ids = np.array([x[1] for x in by_hash], np.int32)
+        self.scores = np.array([x[2] for x in by_hash], np.int64)
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[self.hashes >> np.uint64(42)] = True
+        self.longest = pieces.longest
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * 0x100000001B3 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return (h ^ len(piece)) * int(_M) & 0xFFFFFFFFFFFFFFFF
+
+    def best(self, units: list[str]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+        """(ids, score, gap) of units of one length; ids are None where a character is no piece."""
+        n, m = len(units[0]), len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)
+        none = -(1 << 61)
+        score = np.full((min(n, self.longest) + 1, n, m), none, np.int64)  # by length and start
+        ids = np.zeros((len(score), n, m), np.int32)
+        h = np.zeros((n, m), np.uint64)
+        for k in range(1, len(score)):
+            h = h[: n - k + 1] * np.uint64(0x100000001B3) + chars[k - 1 :] + np.uint64(1)
+            key = ((h ^ np.uint64(k)) * _M).ravel()
+            at = np.flatnonzero(self.bitmap[key >> np.uint64(42)])
+            where = np.minimum(np.searchsorted(self.hashes, key[at]), len(self.hashes) - 1)
+            ok = self.hashes[where] == key[at]
+            at, where = at[ok], where[ok]
+            score[k, : n - k + 1].ravel()[at] = self.scores[where]
+            ids[k, : n - k + 1].ravel()[at] = self.ids[where]
+        plain = (score[1] > none).all(0)
+        alpha, back = np.full((n + 1, m), none, np.int64), np.zeros((n + 1, m), np.int32)
+        alpha[0] = 0
+        for j in range(1, n + 1):
+            for k in range(min(j, len(score) - 1), 0, -1):
+                t = alpha[j - k] + score[k, j - k]
+                better = t > alpha[j]
+                alpha[j][better] = t[better]
+                back[j][better] = k
+        beta = np.full((n + 1, m), none, np.int64)
+        beta[n] = 0
+        for i in range(n - 1, -1, -1):
+            for k in range(1, min(n - i, len(score) - 1) + 1):
+                np.maximum(beta[i], score[k, i] + beta[i + k], out=beta[i])
+        taken = np.zeros((n, m), np.int32)  # by start, the length of the best path's piece
+        at, every = np.full(m, n), np.arange(m)
+        while (on := every[at > 0]).size:
+            k = back[at[on], on]
+            stuck = k == 0  # only where a character is no piece
+            k = np.where(stuck, at[on], k)
+            at[on] -= k
+            taken[at[on], on] = k
+        second = np.full(m, none, np.int64)
+        for k in range(1, len(score)):
+            t = alpha[: n - k + 1] + score[k, : n - k + 1] + beta[k:]
+            t[taken[: n - k + 1] == k] = none
+            np.maximum(second, t.max(0), out=second)
+        gap = np.where(second > none // 2, alpha[n] - second, -1)
+        used = (taken > 0).T
+        flat = ids[np.minimum(taken, len(score) - 1), np.arange(n)[:, None], every].T[used].astype("<u2").tobytes()
+        stop = (np.cumsum(used.sum(1)) * 2).tolist()
+        out: list[bytes | None] = [flat[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = None
+        return out, alpha[n], gap
+
+
 class Segmenter:
-    """Whole texts; keeps what it found for the units seen."""
+    """Whole texts; keeps what it found for the units seen, as UTF-8 with spaces for space signs."""
 
-    def __init__(self, pieces: Pieces, n: int, keep: int = 400_000):
+    def __init__(self, pieces: Pieces, n: int, keep: int = 300_000):
         self.pieces, self.n, self.keep = pieces, n, keep
-        self.units = re.compile(f"\n|{SPACE_SIGN}*[^{SPACE_SIGN}\n]+|{SPACE_SIGN}+")
-        self.known: dict[str, tuple[bytes, int, int]] = {}
-        self.searched: dict[str, list[tuple[bytes, int]]] = {}
-
-    def _look_up(self, units: list[str]) -> list[tuple[bytes, int, int]]:
-        known = self.known
-        if new := [u for u in set(units) if u not in known]:
-            if len(known) > self.keep:
-                known.clear()
-                new = list(set(units))
-            for u in new:
-                cuts, score, gap = self.pieces.best(u)
-                known[u] = self.pieces.encode(u, cuts), score, gap
-        return list(map(known.__getitem__, units))
-
-    def _search(self, unit: str) -> list[tuple[bytes, int]]:
+        self.lattices = Lattices(pieces)
+        self.known: dict[bytes, tuple[bytes, int, int]] = {}
+        self.searched: dict[bytes, list[tuple[bytes, int]]] = {}
+        self.table = [b""] * (max([*pieces.names, *pieces.byte_ids, 0]) + 1)
+        for i, p in pieces.names.items():
+            self.table[i] = p.replace(SPACE_SIGN, " ").encode()
+        for i, x in pieces.bytes_of.items():
+            self.table[i] = bytes([x])
+
+    @staticmethod
+    def _text(unit: bytes) -> str:
+        return unit.decode("utf-8", "surrogatepass").replace(" ", SPACE_SIGN)
+
+    def _look_up(self, units: list[bytes]) -> list[tuple[bytes, int, int]]:
+        """(ids, score, gap) of distinct units. Units met when the store is full are not kept."""
+        found = list(map(self.known.get, units))
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for i, x in enumerate(found):
+            if x is None:
+                text = self._text(units[i])
+                by_length.setdefault(min(len(text), SHORT + 1), []).append((i, text))
+        for size, own in by_length.items():
+            for a in range(0, len(own), 4096):
+                part = own[a : a + 4096]
+                whole = self.lattices.best([t for _, t in part]) if size <= SHORT else ([None] * len(part), [0] * len(part), [0] * len(part))
+                for (i, text), ids, score, gap in zip(part, *(x if isinstance(x, list) else x.tolist() for x in whole), strict=True):
+                    if ids is None:
+                        cuts, score, gap = self.pieces.best(text)
+                        ids = self.pieces.encode(text, cuts)
+                    found[i] = ids, score, gap
+                    if len(self.known) < self.keep:
+                        self.known[units[i]] = found[i]
+        return found
+
+    def _search(self, unit: bytes) -> list[tuple[bytes, int]]:
         if unit not in self.searched:
             if len(self.searched) > self.keep // 4:
                 self.searched.clear()
-            self.searched[unit] = [(self.pieces.encode(unit, c), s) for c, s in self.pieces.nbest(unit, self.n)]
+            text = self._text(unit)
+            self.searched[unit] = [(self.pieces.encode(text, c), s) for c, s in self.pieces.nbest(text, self.n)]
         return self.searched[unit]
 
-    def __call__(self, text: str) -> tuple[bytes, list[tuple[int, dict[int, bytes]]], list[bytes]]:
-        """(ids of the best path, the N best as (score, unit index -> other ids), ids of each unit on the best path)."""
-        units = self.units.findall(SPACE_SIGN + text.replace(" ", SPACE_SIGN)) if text else []
-        found = self._look_up(units)
-        parts = [x[0] for x in found]
-        total = sum(x[1] for x in found)
-        gaps = np.fromiter((x[2] for x in found), np.int64, len(found))
-        can = np.flatnonzero(gaps >= 0)
-        # a path of the N best departs from the best only where the gap is among the N - 1 smallest
-        where = can[np.argsort(gaps[can], kind="stable")[: self.n - 1]]
-        ways: list[tuple[int, dict[int, bytes]]] = [(total, {})]
-        for k in where.tolist():
-            ways = sorted(((s - found[k][1] + alt, w if not r else w | {k: ids}) for s, w in ways for r, (ids, alt) in enumerate(self._search(units[k]))), key=lambda x: -x[0])[: self.n]
-        return b"".join(parts), ways, parts
-
-
-def segment(docs: DataFrame, *, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, ids (16-bit, best path), score, nbest (score, ids), round_trip.
-
-    ``model`` is the path of a SentencePiece model on the driver. ``nbest`` has up to n paths, best first; its
-    first is the best. ``round_trip``: the best ids decode to the text, which fails only for texts that hold the
-    space sign itself. A null text is an empty one: no token, score 0, one empty path. Rows are independent;
-    other columns are not read. One pass, no shuffle.
+    def many(self, texts: list[str | None], group: int = 2 << 20) -> Iterator[tuple[bytes, list[tuple[int, bytes]]]]:
+        """(ids of the best path, the N best as (score, ids)) of each text; texts are taken in groups of so many characters."""
+        held: list[bytes] = []
+        size = 0
+        for k, text in enumerate(texts):
+            # a space sign in the text itself is a space to the lattice
+            held.append((text or "").replace(SPACE_SIGN, " ").encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= group or k == len(texts) - 1:
+                yield from self._group(held)
+                held, size = [], 0
+
+    def _group(self, texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, bytes]]]]:
+        size = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+        end = np.cumsum(size)
+        data = np.frombuffer(b"".join(b" " + t for t in texts if t), np.uint8)  # each with its dummy prefix
+        space, line = data == 32, data == 10
+        new = np.ones(len(data), bool)
+        new[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        new[(end - size)[size > 0]] = True
+        first = np.flatnonzero(new)
+        bounds = [0, *np.searchsorted(first, end).tolist()]
+        at = np.append(first, len(data)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        which, names = units.indices.to_numpy(), units.dictionary.to_pylist()
+        found = self._look_up(names)
+        score = np.fromiter((x[1] for x in found), np.int64, len(found))
+        gap = np.fromiter((x[2] for x in found), np.int64, len(found))
+        long = np.fromiter((len(x[0]) for x in found), np.int64, len(found)) >> 1
+        flat, start = np.frombuffer(b"".join(x[0] for x in found), "<u2"), np.cumsum(long) - long
+        n = long[which]
+        stop = np.cumsum(n)
+        out = flat[np.arange(int(n.sum())) + np.repeat(start[which] - (stop - n), n)].tobytes()
+        stop = np.append(0, stop * 2)
+        gaps, scores = gap[which], score[which]
+        gaps = np.where(gaps < 0, np.iinfo(np.int64).max, gaps)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            ids = out[stop[a] : stop[b]]
+            total, own = int(scores[a:b].sum()), gaps[a:b]
+            # a path of the N best departs from the best only where the gap is among the N - 1 smallest
+            k = min(self.n - 1, b - a)
+            near = np.argpartition(own, k - 1)[:k] if 0 < k < b - a else np.arange(b - a)
+            ways: list[tuple[int, dict[int, bytes]]] = [(total, {})]
+            for i in sorted(near.tolist(), key=lambda i: (own[i], i)):
+                if own[i] < np.iinfo(np.int64).max:
+                    less = int(scores[a + i])
+                    ways = sorted(((s - less + alt, w if not r else w | {i: x}) for s, w in ways for r, (x, alt) in enumerate(self._search(names[which[a + i]]))), key=lambda x: -x[0])[: self.n]
+            yield ids, [(s, self._splice(ids, w, stop[a : b + 1] - stop[a])) for s, w in ways]
+
+    @staticmethod
+    def _splice(ids: bytes, other: dict[int, bytes], at: np.ndarray) -> bytes:
+        """The ids with those of some units replaced."""
+        out, last = [], 0
+        for i in sorted(other):
+            out += [ids[last : at[i]], other[i]]
+            last = at[i + 1]
+        return b"".join([*out, ids[last:]]) if out else ids
+
+    def decode(self, ids: bytes) -> bytes:
+        """The UTF-8 text of ids, without the dummy prefix."""
+        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u2").tolist())).removeprefix(b" ")
+
+
+def segment(docs: DataFrame, *, model: str, n: int = 4, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_tokens, ids_crc32 (best path), score, n_best, last_score, nbest_crc32 (of each path, comma-joined,
+    best first), round_trip, and with ``with_ids`` ids (16-bit, best path) and nbest (score, ids).
+
+    ``model`` is the path of a SentencePiece model on the driver. ``round_trip``: the best ids decode to the text, which
+    fails only for texts that hold the space sign itself. A null text is an empty one: no token, score 0, one empty
+    path. Rows are independent; other columns are not read. One pass, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        segmenter = Segmenter(pieces, n)
-        for b in batches:
+        segmenter = Segmenter(shared.value, n)
+        for b in slices(batches):
             rows = []
-            for text in b["_text"].to_pylist():
-                ids, ways, parts = segmenter(text or "")
-                others = [{"score": s / UNIT, "ids": ids if not w else b"".join(w.get(i, p) for i, p in enumerate(parts))} for s, w in ways]
-                rows.append((len(ids) // 2, ids, ways[0][0] / UNIT, others, pieces.decode(np.frombuffer(ids, "<u2")) == (text or "")))
-            kinds = [pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())])), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b["_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[id_col, "n_tokens", "ids", "score", "nbest", "round_trip"])
+            texts = b["_text"].to_pylist()
+            for text, (ids, ways) in zip(texts, segmenter.many(texts), strict=True):
+                same = segmenter.decode(ids) == (text or "").encode("utf-8", "surrogatepass")
+                sums = ",".join(str(crc32(x)) for _, x in ways)
+                row = (len(ids) // 2, crc32(ids), ways[0][0] / UNIT, len(ways), ways[-1][0] / UNIT, sums, same)
+                rows.append((*row, ids, [{"score": s / UNIT, "ids": x} for s, x in ways]) if with_ids else row)
+            yield pa.RecordBatch.from_arrays([b["_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return own.mapInArrow(run, f"`{id_col}` {own.schema['_id'].dataType.simpleString()}, n_tokens long, ids binary, score double, nbest array<struct<score: double, ids: binary>>, round_trip boolean")
+    names = [id_col, "n_tokens", "ids_crc32", "score", "n_best", "last_score", "nbest_crc32", "round_trip"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.string(), pa.bool_()]
+    sql = [own.schema["_id"].dataType.simpleString(), "long", "long", "double", "int", "double", "string", "boolean"]
+    if with_ids:
+        names, sql = [*names, "ids", "nbest"], [*sql, "binary", "array<struct<score: double, ids: binary>>"]
+        kinds += [pa.binary(), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))]
+    return own.mapInArrow(run, ", ".join(f"`{x}` {k}" for x, k in zip(names, sql, strict=True)))
 
 
 def crc32(ids: bytes) -> int:

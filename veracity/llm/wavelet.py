@@ -13,6 +13,7 @@ bit before the next plane. Rank directories are summed from the planes when a sh
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, spread
+from .common import Scratch, numbered, slices, spread
 from .tokens import Encoder, read_spec
 
 MAGIC, BITS, BLOCK = b"WVLT", 16, 512
@@ -37,10 +38,10 @@ def build(ids: np.ndarray, lengths: np.ndarray, bits: int = BITS) -> bytes:
     for level in range(bits - 1, -1, -1):
         one = (x >> level & 1).astype(bool)
         block = z.compress(np.packbits(one).tobytes())
-        zeros = x[~one]
+        zeros = np.compress(~one, x)
         head.append(struct.pack("<QI", len(zeros), len(block)))
         blocks.append(block)
-        x = np.concatenate([zeros, x[one]])
+        x = np.concatenate([zeros, np.compress(one, x)])
     tail = z.compress(lengths.astype("<u4").tobytes())
     return b"".join([MAGIC, struct.pack("<IIQ", bits, len(lengths), len(ids)), *head, struct.pack("<I", len(tail)), *blocks, tail])
 
@@ -135,12 +136,13 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids in order: planes are undone from the lowest bit up."""
-        x = np.zeros(self.tokens, np.uint32)
+        x = np.zeros(self.tokens, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.plane(k), count=self.tokens).astype(bool)
             back = np.empty_like(x)
             zeros = self.heads[k][0]
-            back[~one], back[one] = x[:zeros], x[zeros:] | np.uint32(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(~one)] = x[:zeros]
+            back[np.flatnonzero(one)] = x[zeros:] | x.dtype.type(1 << (self.bits - 1 - k))
             x = back
         return x
 
@@ -160,11 +162,12 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value, drops_space=drops_space)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"_rid": b["_rid"], "_id": b["_id"], "_ids": pa.array([encoder(t, (end,)) for t in b["_text"].to_pylist()], pa.binary())})
+        encoder = Encoder.shared(spec.value, drops_space=drops_space)
+        for b in slices(batches):
+            tokens = list(encoder.many(b["_text"].to_pylist(), (end,)))
+            yield pa.RecordBatch.from_pydict({"_rid": b["_rid"], "_id": b["_id"], "_n": pa.array([len(x) // 2 for x in tokens], pa.int64()), "_ids": pa.array(tokens, pa.binary())})
 
-    encoded = scratch.save(own.mapInArrow(encode, f"_rid long, _id {kind}, _ids binary"), "encoded")
+    encoded = scratch.save(own.mapInArrow(encode, f"_rid long, _id {kind}, _n long, _ids binary"), "encoded")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, shard = TaskContext.get().partitionId(), 0, 0
@@ -189,12 +192,14 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
             yield flush()
 
     # the ranges are sampled from the two narrow columns; ids cross the network once
-    dealt = encoded.repartitionByRange(spread(spark, 0, 1), F.asc_nulls_first("_id"), "_rid").sortWithinPartitions(F.asc_nulls_first("_id"), "_rid")
+    total = encoded.agg(F.sum("_n")).first()[0] or 0
+    dealt = encoded.repartitionByRange(spread(spark, total, 16 * shard_tokens), F.asc_nulls_first("_id"), "_rid").sortWithinPartitions(F.asc_nulls_first("_id"), "_rid")
     return scratch.save(dealt.mapInArrow(shards, f"part long, shard long, before long, n_tokens long, ids array<{kind}>, file binary"), "shards")
 
 
-def read_shards(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents from written shards: id, start (ids of all documents before it), n_tokens, ids (32-bit little-endian)."""
+def read_shards(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """Documents from written shards: id, start (ids of all documents before it), n_tokens, ids (32-bit little-endian),
+    ids_crc32. Without ``with_ids`` the ids themselves stay out."""
     base, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row a partition
         base[r["part"]] = total
@@ -209,9 +214,10 @@ def read_shards(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 stop = np.cumsum(n)
                 start = stop - n
                 raw = [x[s:e].tobytes() for s, e in zip(start, stop, strict=True)]
-                yield pa.RecordBatch.from_pydict({id_col: b["ids"][k].values, "start": pa.array(start + base[b["part"][k].as_py()] + b["before"][k].as_py()), "n_tokens": pa.array(n), "ids": pa.array(raw, pa.binary())})
+                own = {"ids": pa.array(raw, pa.binary())} if with_ids else {}
+                yield pa.RecordBatch.from_pydict({id_col: b["ids"][k].values, "start": pa.array(start + base[b["part"][k].as_py()] + b["before"][k].as_py()), "n_tokens": pa.array(n), **own, "ids_crc32": pa.array(map(zlib.crc32, raw), pa.int64())})
 
-    return files.select("part", "before", "ids", "file").mapInArrow(read, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return files.select("part", "before", "ids", "file").mapInArrow(read, f"`{id_col}` {kind}, start long, n_tokens long, {'ids binary, ' if with_ids else ''}ids_crc32 long")
 
 
 def export(image: bytes, path: str) -> None:
