@@ -14,11 +14,9 @@ repeated rows, ties and empty tables are handled as the operators state.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), scratch=_scratch(spark))
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("ids_crc32", pa.array([zlib.crc32(x) for x in b["ids"].to_pylist()], pa.int64()))
-
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["ids_crc32 long"])
-    return pieces.mapInArrow(crc, kinds).drop("ids")
+    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), with_ids=False, scratch=_scratch(spark))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
