@@ -1,0 +1,30 @@
+"""The pipeline's stages on awkward rows, and its run over the smallest tables."""
+
+import os
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    rows = [(None, None, None, None), (1, "", "en", 0), (2, "a password=hunter22 b", "en", 21), (2, "a password=hunter22 b", "en", 21), (3, "a\npassword=hunter22 b", "en", 21)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        if name == "exact":
+            assert len(got) == 2
+        if name == "secrets":
+            assert len(got) == 5 and {(r.text, r.n_chars) for r in got if r.doc_id == 2} == {("a [SECRET] b", 12)}
+        assert all(len(f(spark, docs.limit(0), SF).collect()) == 0 for _, f in [(name, stage)])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SF)
+    rows = out.collect()
+    assert rows and max(r.offset + r.length for r in rows) <= 4096
+    assert len(corpus_pipeline.STAGES) == 5
