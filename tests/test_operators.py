@@ -204,3 +204,36 @@ def test_cli(spark, tmp_path, capsys):
         cli.main(["evaluate", "--csv-path", str(tmp_path / "b"), "--output-path", str(tmp_path / "o"), "--resume-from-checkpoint"])
     assert "'rows': 40" in capsys.readouterr().out
     cli.main(["estimate", "--seed-path", str(tmp_path / "seeds")])
+
+
+def test_verifier(spark):
+    from veracity.operators import verifier
+    from veracity.sources.config import ApiSettings
+
+    def call(prompt, answer):
+        if prompt == "late":
+            raise TimeoutError
+        if prompt == "busy":
+            raise verifier.HttpError(429)
+        if prompt == "down":
+            raise ConnectionError
+        return 'well: {"h": 1}' if prompt == "good" else "nonsense"
+
+    pairs = spark.createDataFrame([(p, "a") for p in ("good", "late", "busy", "down", "bad")], "prompt string, answer string")
+    got = {r.prompt: r for r in scoring.audits(pairs, None, verifier.calling(call, ApiSettings(requests_per_minute=50))).collect()}
+    assert {p: r.audit.status for p, r in got.items()} == {"good": "partial_json", "late": "timeout", "busy": "http_429", "down": "connection_error", "bad": "invalid_json"}
+    limited = scoring.audits(pairs, None, verifier.calling(call, ApiSettings(requests_per_minute=2))).collect()
+    assert sum(r.audit.status == "local_rate_limited" for r in limited) == 3
+    assert all(r.audit.status == "missing_api_key" for r in scoring.audits(pairs, None, verifier.calling(call, ApiSettings(), has_key=False)).collect())
+
+
+def test_augment(spark):
+    rows = [(f"Столица страны {i}?", f"Столица страны {i} — Париж.", 0, "s", "positive", i) for i in range(6)]
+
+    def rewrite(df, positive):
+        if positive:
+            return df.withColumn("rewritten", F.concat(F.expr("left(answer, length(answer) - 1)"), F.lit(", крупный город на реке.")))
+        return df.withColumn("rewritten", F.concat(F.replace("answer", F.lit("Париж."), F.lit("Лондон, крупный город на реке."))))
+
+    got = ingest.augment(spark.createDataFrame(rows, REC), rewrite, 3).groupBy("variant_type").count().collect()
+    assert {r.variant_type: r["count"] for r in got} == {"positive": 6, "groq_supported_positive": 3, "groq_drift_negative": 3}

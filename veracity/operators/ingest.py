@@ -9,7 +9,8 @@ from ..functions import answers as A
 from ..functions import text as T
 from ..functions.mutate import mutate
 from .dedup import exclude, first_wins, merge_unique, ring_negatives
-from .sampling import spec_cap
+from .quality import augmentation_sources, drift_cheap, drift_gate, filter_negatives, sequence_ratio, supported_positive
+from .sampling import round_robin, spec_cap
 
 RECORD = ["prompt", "answer", "label", "source", "variant_type"]
 #: Harvest specs: name, answer type, prompt and answer templates. Fixed values.
@@ -88,3 +89,27 @@ def quota(candidates: DataFrame, transform, keep, limit: int, attempts: int) ->
     """Produce until a quota is met, within an attempt budget: the first ``attempts`` rows are transformed and checked,
     the first ``limit`` that pass stay."""
     return keep(transform(candidates.orderBy("_ord").limit(attempts))).orderBy("_ord").limit(limit)
+
+
+def augment(records: DataFrame, rewrite, limit: int) -> DataFrame:
+    """Adds up to ``limit`` supported positives and as many drifting negatives, each with its own quota.
+
+    ``rewrite(candidates, positive)`` adds ``rewritten``. Candidates are drawn from factual records in turn by question
+    profile, at most max(25, 3 * limit). What passes its quality rules and has a new key is added, and bad external
+    negatives go from the whole.
+    """
+    base = augmentation_sources(records)
+    drawn = round_robin(base, max(25, 3 * limit))
+    out = records
+    for positive, variant in ((True, "groq_supported_positive"), (False, "groq_drift_negative")):
+        cand = rewrite(drawn, positive).where(F.col("rewritten").isNotNull() & (T.trim(F.col("rewritten")) != "") & (F.col("rewritten") != F.col("answer")))
+        ref, new = F.col("answer"), F.col("rewritten")
+        if positive:
+            cand = cand.where(supported_positive(ref, new))
+        else:
+            cand = cand.where(drift_cheap(ref, new) & drift_gate(ref, new)).withColumn("_ratio", sequence_ratio(T.normalised(ref), T.normalised(new))).where("_ratio < 0.985").drop("_ratio")
+        fresh = cand.select("prompt", new.alias("answer"), F.lit(0 if positive else 1).alias("label"), "source", F.lit(variant).alias("variant_type"), "_ord")
+        keys = ["prompt", "answer", "label", "source", "variant_type"]
+        fresh = exclude(first_wins(fresh, keys, "_ord"), records, keys).orderBy("_ord").limit(limit)
+        out = out.unionByName(fresh.select(records.columns))
+    return filter_negatives(out)

@@ -16,6 +16,7 @@ from ..functions import answers as A
 from ..functions import audit as Q
 from ..functions import features as X
 from ..functions import lexicon as L
+from ..functions import probe as P
 from ..functions import text as T
 from ..functions.mutate import mutate
 from ..operators import dedup, ingest, metrics, ml, quality, sampling, scoring
@@ -513,6 +514,30 @@ def probe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *r6("mean_lp", "min_lp", "max_lp", "std_lp", "perplexity"), F.col("n_tokens").cast("long").alias("n_tokens"), *r6("first_lp", "top5_mass"))
 
 
+_LOGITS = "list_transform(range(0, len(embedding) // 16), lambda i: list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: x::DOUBLE))"
+_STATS = (
+    ("mean_lp", "list_avg(lp)"), ("min_lp", "list_min(lp)"), ("max_lp", "list_max(lp)"), ("std_lp", "CASE WHEN len(lp) > 1 THEN list_stddev_samp(lp) ELSE 0.0 END"), ("mean_entropy", "list_avg(e)"), ("max_entropy", "list_max(e)"),
+    ("std_entropy", "CASE WHEN len(e) > 1 THEN list_stddev_samp(e) ELSE 0.0 END"), ("perplexity", "exp(-list_avg(lp))"), ("first_lp", "lp[1]"), ("mean_top1", "list_avg(list_transform(p, lambda r: list_max(r)))"),
+    ("mean_top5", "list_avg(list_transform(p, lambda r: list_sum(list_reverse_sort(r)[1:5])))"), ("prompt_norm", "sqrt(list_sum(list_transform(z[1], lambda x: x * x)))"), ("answer_norm", "list_avg(list_transform(z, lambda r: sqrt(list_sum(list_transform(r, lambda x: x * x)))))"),
+)
+
+
+@query(
+    f"""WITH z AS (SELECT vec_id, {_LOGITS} AS z FROM embeddings),
+    s AS (SELECT *, list_transform(z, lambda r: list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) AS d FROM z),
+    p AS (SELECT *, list_transform(z, lambda r, i: list_transform(r, lambda x: exp(x - list_max(r)) / d[i])) AS p, list_transform(z, lambda r, i: r[1 + (vec_id + i - 1) % 16] - list_max(r) - ln(d[i])) AS lp FROM s),
+    e AS (SELECT *, list_transform(p, lambda r: -list_sum(list_transform(r, lambda x: x * ln(x + 1e-10)))) AS e FROM p)
+    SELECT vec_id, len(lp) AS n_tokens, {', '.join(f'round({v}, 6) AS {k}' for k, v in _STATS)} FROM e"""
+)
+def probe_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings read as rows of 16 logits; the chosen tokens go round with the row."""
+    t = table(spark, sf_dir, "embeddings")
+    rows = t.select("vec_id", F.transform(F.sequence(F.lit(0), (F.size("embedding") / 16).cast("int") - 1), lambda i: F.transform(F.slice("embedding", i * 16 + 1, 16), lambda x: x.cast("double"))).alias("z"))
+    rows = rows.withColumn("ids", F.transform("z", lambda r, i: F.pmod(F.col("vec_id") + i, F.lit(16)).cast("int")))
+    out = P.uncertainty(rows, "z", "ids").withColumns(P.layer_summary(F.get("z", F.lit(0)), F.col("z")))
+    return out.select("vec_id", F.col("n_tokens").cast("long").alias("n_tokens"), *r6(*(n for n, _ in _STATS)))
+
+
 # --- sources and sinks ---------------------------------------------------------------------------------------------
 
 
