@@ -55,7 +55,7 @@ def normalised_weights(df: DataFrame, by: str | None = None) -> DataFrame:
     w = df.withColumn("_w", variant_weight(F.col("variant_type")))
     split = F.col(by) if by else F.lit(0)
     means = w.groupBy(split.alias("_s")).agg(F.avg("_w").alias("_m"))  # a row a split
-    out = w.join(F.broadcast(means), split.eqNullSafe(F.col("_s")))
+    out = w.join(means, split.eqNullSafe(F.col("_s")))
     return out.withColumn("weight", F.when(F.col("_m") > 0, F.col("_w") / F.col("_m")).otherwise(1.0)).drop("_w", "_m", "_s")
 
 
@@ -63,7 +63,7 @@ def stratify_labels(df: DataFrame) -> DataFrame:
     """Adds ``stratum``: variant__label, or the label alone where that pair is rare."""
     key = T.group_key(F.col("variant_type"), F.col("label"))
     counts = df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"))  # a row a variant and label
-    out = df.withColumn("_key", key).join(F.broadcast(counts), F.col("_key") == F.col("_k"))
+    out = df.withColumn("_key", key).join(counts, F.col("_key") == F.col("_k"))
     return out.withColumn("stratum", F.when(F.col("_n") >= 2, F.col("_key")).otherwise(F.col("label").cast("string"))).drop("_k", "_n", "_key")
 
 

@@ -9,18 +9,22 @@ from ..functions import lexicon as X
 from ..functions import text as T
 
 
+def top_by(df: DataFrame, group: Column, key: str, k: int) -> DataFrame:
+    """Of each group the k rows with the smallest keys, numbered in ``_rn``. Spark limits each partition to k rows a group
+    before it shuffles, so no group is gathered whole."""
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
+    return ranked.where(F.col("_rn") <= k)
+
+
 def _quota(df: DataFrame, group: Column, key: str, limit: int) -> DataFrame:
     """Of each group the rows with the smallest keys: its share of the limit, half-even, one at least."""
-    counts = df.groupBy(group.alias("_g")).count().collect()  # one row a group: variant and label, or label
+    counts = df.groupBy(group.alias("_g")).count().collect()  # one row a variant and label, or a label
     total = sum(r["count"] for r in counts)
-    taken = {r["_g"]: max(1, round(limit * r["count"] / total)) for r in counts}
-    parts = []
-    for g, k in taken.items():
-        parts.append(df.where(group.eqNullSafe(F.lit(g))).orderBy(key).limit(k))  # a bounded top-k each, no window over a whole group
-    out = parts[0] if parts else df.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    share = {r["_g"]: max(1, round(limit * r["count"] / total)) for r in counts}
+    allowed = F.lit(0)
+    for g, k in share.items():
+        allowed = F.when(group.eqNullSafe(F.lit(g)), k).otherwise(allowed)
+    return top_by(df, group, key, max(share.values(), default=1)).where(F.col("_rn") <= allowed).drop("_rn")
 
 
 def stratified_sample(records: DataFrame, limit: int | None) -> DataFrame:
@@ -59,12 +63,8 @@ def round_robin(records: DataFrame, limit: int) -> DataFrame:
     """One of each question profile in turn, by key within a profile."""
     key = T.key_digest(F.col("prompt"), F.col("answer"), F.col("source"), F.col("variant_type"))
     keyed = records.withColumn("_p", T.profile_building(F.col("prompt"))).withColumn("_key", key)
-    tops = None
-    for i, p in enumerate(X.PROFILES):
-        top = keyed.where(F.col("_p") == p).orderBy("_key").limit(limit).withColumn("_i", F.lit(i))
-        tops = top if tops is None else tops.unionByName(top)
-    ranked = tops.withColumn("_rn", F.row_number().over(Window.partitionBy("_i").orderBy("_key")))  # limit rows a profile at most
-    return ranked.orderBy("_rn", "_i").limit(limit).drop("_p", "_key", "_i", "_rn")
+    turn = F.array_position(F.array(*map(F.lit, X.PROFILES)), F.col("_p"))
+    return top_by(keyed, F.col("_p"), "_key", limit).orderBy("_rn", turn).limit(limit).drop("_p", "_key", "_rn")
 
 
 def per_label_limit(df: DataFrame, limit: int) -> DataFrame:
@@ -79,4 +79,4 @@ def stratified_split(df: DataFrame, stratum: str, key: Column, share: float = 0.
 
 def spec_cap(df: DataFrame, spec: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each spec."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(spec).orderBy(order))).where(F.col("_rn") <= cap).drop("_rn")
+    return top_by(df, F.col(spec), order, cap).drop("_rn")

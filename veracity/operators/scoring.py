@@ -29,15 +29,18 @@ def cache_key(model: str, version: str, mode: str) -> Column:
 def audits(pairs: DataFrame, cache: DataFrame | None, verifier: Verifier = offline, *, model: str = "offline", version: str = "v1", mode: str = "runtime") -> DataFrame:
     """Adds ``audit``, ``cached`` and ``t_model_sec``. Known keys come from the cache (key, value) by one join; each
     missing key is verified once."""
-    keyed = pairs.withColumn("key", cache_key(model, version, mode))
-    missing = keyed.select("key", "prompt", "answer").dropDuplicates(["key"])
-    if cache is not None:
-        missing = exclude(missing, cache, ["key"])
-    asked = verifier(missing).select("key", F.col("raw").alias("_raw"), F.col("status").alias("_status"), F.col("t_model_sec").alias("_t"))
-    every = asked.withColumn("cached", F.lit(False))
-    if cache is not None:
-        every = every.unionByName(cache.select("key", F.col("value").alias("_raw"), F.lit(None).cast("string").alias("_status"), F.lit(0.0).alias("_t"), F.lit(True).alias("cached")))
-    joined = keyed.join(every, "key", "left")
+    if verifier is offline and cache is None:  # nothing to look up, nothing to ask
+        joined = pairs.withColumns({"_raw": F.lit(None).cast("string"), "_status": F.lit("disabled"), "_t": F.lit(0.0), "cached": F.lit(False), "key": F.lit("")})
+    else:
+        keyed = pairs.withColumn("key", cache_key(model, version, mode))
+        missing = keyed.select("key", "prompt", "answer").dropDuplicates(["key"])
+        if cache is not None:
+            missing = exclude(missing, cache, ["key"])
+        asked = verifier(missing).select("key", F.col("raw").alias("_raw"), F.col("status").alias("_status"), F.col("t_model_sec").alias("_t"))
+        every = asked.withColumn("cached", F.lit(False))
+        if cache is not None:
+            every = every.unionByName(cache.select("key", F.col("value").alias("_raw"), F.lit(None).cast("string").alias("_status"), F.lit(0.0).alias("_t"), F.lit(True).alias("cached")))
+        joined = keyed.join(every, "key", "left")
     parsed = Q.normalise(F.col("_raw"))
     failed = F.struct(*(F.lit(Q.ABSENT[k]).alias(k) for k in Q.ABSENT), F.lit(False).alias("ok"), F.coalesce("_status", F.lit("invalid_json")).alias("status"))
     return joined.withColumn("audit", F.when(F.col("_raw").isNull(), failed).otherwise(parsed)).withColumn("t_model_sec", F.coalesce("_t", F.lit(0.0))).drop("_raw", "_status", "_t", "key")
