@@ -169,7 +169,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     each = found.join(reps.select("_rid", "_id", "_n", "_chars", "_sha"), "_rid")
     best = F.min(F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
-    classes = each.groupBy("_cls").agg(F.sum("_n").alias("size"), best.alias("best"))
+    classes = scratch.save(each.groupBy("_cls").agg(F.sum("_n").alias("size"), best.alias("best")), "summed")
     each = each.select("_cls", F.col("_rid").alias("_rep"), "_sha").join(classes, "_cls")
     members = local.select("_rid", "_id", "_rep").join(each, "_rep")
     decisions = members.select(

@@ -251,7 +251,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     each = each.select(F.col("_rid").alias("_rep"), F.coalesce("root", "_set").alias("_class"), "_copies", F.coalesce("_links", F.lit(0)).alias("_links"))
     each = scratch.save(local.select("_rid", "_id", "_rep").join(each, "_rep"), "rows")
     best = F.min(F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
-    classes = each.groupBy("_class").agg(F.count("*").alias("_size"), best.alias("_best"))
+    # written, so that the join below deals out its own sides and AQE can split a large class
+    classes = scratch.save(each.groupBy("_class").agg(F.count("*").alias("_size"), best.alias("_best")), "classes")
     out = each.join(classes, "_class").select(
         F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_size").alias("class_size"), (F.col("_links") + F.col("_copies") - 1).alias("n_links"), (F.col("_copies") - 1).alias("n_same"), (F.col("_rid") == F.col("_best.rid")).alias("kept"),
     )
