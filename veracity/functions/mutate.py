@@ -29,7 +29,7 @@ def mutate(answer: Column) -> Column:
     symbol by table order; else a hedge after the second word. A blank answer stays blank."""
     t = T.trim(answer)
     hit, before, after, (year,) = _around(t, YEAR)
-    out = F.when(hit, F.concat(before, (F.try_cast(year, "int") + 3).cast("string"), after)) if hasattr(F, "try_cast") else F.when(hit, F.concat(before, (year.try_cast("int") + 3).cast("string"), after))
+    out = F.when(hit, F.concat(before, (year.try_cast("int") + 3).cast("string"), after))
     hit, before, after, (_, day, month) = _around(t, DATE, 2)
     months = F.create_map(*(F.lit(x) for kv in X.MONTH_SWAPS.items() for x in kv))
     out = out.when(hit, F.concat(before, F.least(day.try_cast("int") + 5, F.lit(31)).cast("string"), F.lit(" "), F.coalesce(F.try_element_at(months, F.lower(month)), month), after))

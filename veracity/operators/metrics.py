@@ -86,9 +86,17 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rate_window(df: DataFrame, key: str, ts: str, tokens: str, seconds: int = 60) -> DataFrame:
-    """Requests and tokens of the last ``seconds``, the row itself included and an entry of just that age not."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.to_timestamp(F.col(ts)))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return df.withColumn("requests", F.count("*").over(w)).withColumn("token_sum", F.sum(tokens).over(w))
+    """Requests and tokens of the last ``seconds``, the row itself included and an entry of just that age not.
+
+    A row's window lies in its own span of that many seconds and the one before, so each row is dealt to its span and
+    to the next: a task sorts two spans of a key at most, however many rows the key has.
+    """
+    us = F.unix_micros(F.to_timestamp(F.col(ts)))
+    span = F.floor(us / (seconds * 1_000_000))
+    dealt = df.withColumn("_span", F.explode(F.array(span, span + 1)))
+    w = Window.partitionBy(key, "_span").orderBy(us).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    out = dealt.withColumn("requests", F.count("*").over(w)).withColumn("token_sum", F.sum(tokens).over(w))
+    return out.where(F.col("_span") == span).drop("_span")
 
 
 def probe_stats(df: DataFrame, values: str) -> DataFrame:

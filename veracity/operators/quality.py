@@ -79,7 +79,9 @@ def expansion_ok(answer: Column, out: Column) -> Column:
 
 def reference_answers(records: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """The last label-0 answer of each prompt."""
-    base = records.where((F.coalesce("label", F.lit(1)) == 0) & ~F.coalesce("variant_type", F.lit("")).isin(*without, "\x00"))
+    base = records.where(F.coalesce("label", F.lit(1)) == 0)
+    if without:
+        base = base.where(~F.coalesce("variant_type", F.lit("")).isin(*without))
     return last_wins(base, ["prompt"], "answer", "_ord").withColumnRenamed("answer", "reference")
 
 
