@@ -83,10 +83,10 @@ class Encoder:
         self.edge = np.array([n.endswith("</w>") if drops_space else n.startswith("Ġ") for n in names])
 
     @classmethod
-    def shared(cls, spec: str, *, drops_space: bool) -> Encoder:
+    def shared(cls, spec: str, *, drops_space: bool, keep: int = 400_000) -> Encoder:
         key = hash(spec), drops_space
         if key not in _encoders:
-            _encoders[key] = cls(spec, drops_space=drops_space)
+            _encoders[key] = cls(spec, drops_space=drops_space, keep=keep)
         return _encoders[key]
 
     def units(self, text: str) -> list[str]:
@@ -142,11 +142,13 @@ class Encoder:
         first = np.cumsum(long) - long
         n = long[which]
         stop = np.cumsum(n)
-        out = flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first[which] - (stop - n), n)].tobytes()
+        total = int(stop[-1]) if len(stop) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        out = flat[np.arange(total, dtype=kind) + np.repeat((first[which] - (stop - n)).astype(kind), n)].tobytes()
         bounds = np.r_[0, stop][np.r_[0, units_in]] * 2
         return [out[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
-    def many(self, texts: list[str | None], end: Iterable[int] = (), group: int = 4 << 20) -> Iterator[bytes]:
+    def many(self, texts: list[str | None], end: Iterable[int] = (), group: int = 8 << 20) -> Iterator[bytes]:
         """The ids of each text, followed by the end ids; texts are taken in groups of so many characters."""
         last = np.array(list(end), "<u2").tobytes()
         held: list[bytes | str] = []

@@ -162,8 +162,8 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(spec.value, drops_space=drops_space)
-        for b in slices(batches):
+        encoder = Encoder.shared(spec.value, drops_space=drops_space, keep=1_000_000)
+        for b in slices(batches, 4096):
             tokens = list(encoder.many(b["_text"].to_pylist(), (end,)))
             yield pa.RecordBatch.from_pydict({"_rid": b["_rid"], "_id": b["_id"], "_n": pa.array([len(x) // 2 for x in tokens], pa.int64()), "_ids": pa.array(tokens, pa.binary())})
 
