@@ -27,10 +27,10 @@ class Bands:
     """``whole``: (bytes from, least ratio, greatest ratio), the last entry that a text reaches holds."""
 
     level: int = 3
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, float("inf")), (128, 0.30, 1.05), (512, 0.25, 0.90), (2048, 0.20, 0.80), (8192, 0.15, 0.75))
+    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, float("inf")), (128, 0.30, 1.05), (512, 0.25, 0.90), (2048, 0.20, 0.70), (8192, 0.15, 0.65))
     chunk: int = 4096
     chunk_least: float = 0.20
-    chunk_most: float = 0.85
+    chunk_most: float = 0.70
     stray: float = 0.25
 
     def limits(self, size: int) -> tuple[float, float]:
