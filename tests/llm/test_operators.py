@@ -164,6 +164,16 @@ def test_quality_verdicts(spark):
     assert repeated_words(b"a b c a b c d".split()) == 6 and repeated_words(b"a a a a".split()) == 4 and repeated_words([]) == 0
 
 
+def test_short_noise_goes(spark):
+    rng = random.Random(2)
+    code = lambda: base64.b64encode(rng.randbytes(9)).decode()[: rng.randint(4, 12)]
+    ascii_ = lambda: "".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(3, 10)))
+    prose = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    rows = [(w, " ".join(word() for _ in range(n))) for n in range(60, 251, 5) for w, word in (("base64", code), ("ascii", ascii_), ("prose", prose))]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == {("base64", False, False): 39, ("ascii", False, False): 39, ("prose", False, True): 39}
+
+
 DER = bytes.fromhex("302e0201010420" + "11" * 32 + "a00706052b8104000a")
 
 

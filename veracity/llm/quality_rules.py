@@ -24,10 +24,14 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (bytes from, least ratio, greatest ratio), the last entry that a text reaches holds."""
+    """``whole``: (bytes from, least ratio, greatest ratio), the last entry that a text reaches holds.
+
+    Below 2048 bytes the greatest ratio follows the length closely: prose and random base64 words come within 0.04
+    of each other there, and such a text has no chunks to tell them apart.
+    """
 
     level: int = 3
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, float("inf")), (128, 0.30, 1.05), (512, 0.25, 0.90), (2048, 0.20, 0.70), (8192, 0.15, 0.65))
+    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, float("inf")), (128, 0.30, 0.95), (192, 0.30, 0.88), (256, 0.30, 0.83), (384, 0.30, 0.78), (512, 0.25, 0.74), (768, 0.25, 0.72), (1024, 0.25, 0.70), (2048, 0.20, 0.70), (8192, 0.15, 0.65))
     chunk: int = 4096
     chunk_least: float = 0.20
     chunk_most: float = 0.70
