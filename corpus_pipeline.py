@@ -9,7 +9,7 @@ repeated rows, ties and empty tables are handled as the operators state.
 2. exact: of equal texts one row stays.
 3. near: of documents linked by a word 5-gram similarity of 0.8 or more one row stays.
 4. secrets: secrets in the texts become a marker; n_chars, if there, follows the text.
-5. packing: pieces of sequences of 4096 tokens, near documents together.
+5. packing: pieces of sequences of 4096 tokens with their ids, near documents together.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), with_ids=False, scratch=_scratch(spark))
+    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), scratch=_scratch(spark))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]

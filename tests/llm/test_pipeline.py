@@ -1,6 +1,7 @@
 """The pipeline's stages on awkward rows, and its run over the smallest tables."""
 
 import os
+import zlib
 
 import pytest
 
@@ -28,3 +29,13 @@ def test_run(spark):
     rows = out.collect()
     assert rows and max(r.offset + r.length for r in rows) <= 4096
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_run_delivers_tokens(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    size = {}
+    for r in rows:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + len(r.ids) // 4
+    assert sorted(size) == list(range(len(size))) and all(size[k] == 4096 for k in range(len(size) - 1))
