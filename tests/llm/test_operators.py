@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -137,6 +138,16 @@ def test_pruning_loses_nothing_likely():
     assert list(least) == [16, 32, 48, 64, 80, 96] and all(0 < least[k] < 0.8 * k for k in least)
 
 
+def test_pruning_adds_little_to_the_banding_loss():
+    odds, lost = np.ones(1), 0.0
+    step = np.array([math.comb(16, m) * 0.8**m * 0.2 ** (16 - m) for m in range(17)])
+    for need in ngram_join.least_matches(ngram_join.THRESHOLD, ngram_join.TOLERANCE).values():
+        odds = np.convolve(odds, step)
+        lost += odds[:need].sum()
+        odds[:need] = 0
+    assert lost < 1e-7 and lost + (1 - 0.8**ngram_join.ROWS) ** ngram_join.BANDS < 4e-6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}

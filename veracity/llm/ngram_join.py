@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, components, numbered, runs, spread
 
-WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
+WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 24, 4, 16
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
