@@ -74,6 +74,12 @@ def test_mutation(spark, answer, want):
     assert one(spark, mutate(F.col("t")), t=answer) == want
 
 
+def test_mutation_keeps_a_long_tail(spark):
+    n = 1_000_010
+    got = spark.range(1).select(mutate(F.repeat(F.lit("qx "), n)).alias("m")).select(F.length("m"), F.right("m", F.lit(5))).first()
+    assert tuple(got) == (3 * n + len(L.FILLER), "qx qx")
+
+
 def test_profiles(spark):
     for prompt, verifier, building in (("В каком году был основан Санкт-Петербург?", "when", "when"), ("Кто это?", "who", "who"), ("whole wheat", "who", "generic"), ("tell who", "who", "who"), ("5 apples", "count", "generic"), ("где он", "where", "where"), ("how many", "count", "count"), ("plain", "generic", "generic")):
         assert one(spark, T.profile_verifier(F.col("t")), t=prompt) == verifier, prompt

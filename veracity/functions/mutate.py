@@ -45,5 +45,5 @@ def mutate(answer: Column) -> Column:
     for source, target in {**X.ENTITY_SWAPS, **X.SYMBOL_SWAPS}.items():
         out = out.when(t.contains(source), _swap_first(t, source, target))
     parts = T.split(t)
-    hedged = F.concat_ws(" ", F.slice(parts, 1, 2), F.array(F.lit(X.FILLER)), F.slice(parts, 3, 1_000_000))
+    hedged = F.concat_ws(" ", F.slice(parts, 1, 2), F.array(F.lit(X.FILLER)), F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))))
     return out.when(t == "", t).otherwise(hedged)
