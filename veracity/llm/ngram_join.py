@@ -3,13 +3,18 @@
 1. Every text becomes its set of five-word shingles (64-bit hashes) and 96 MinHash values. Texts with
    equal sets collapse, first within a batch, then over all; the rest works on distinct sets.
 2. Sets that share one of 24 bands of 4 values are candidates (a pair at the threshold is missed with
-   probability (1 - 0.8^4)^24 < 4e-6). A large bucket is dealt out as pairs of blocks of at most
-   ``block`` sets, so no task holds a whole bucket and no pair is a row.
+   probability (1 - 0.8^4)^24 < 4e-6). A large bucket is dealt out as pairs of blocks, so no task holds a
+   whole bucket and no pair is a row.
 3. Candidates compare their MinHash values step by step. A pair goes as soon as the posterior
    probability, from a flat prior, that its similarity reaches the threshold is below ``tolerance``.
    What stays joins sets into candidate components.
-4. Within a component, again in pairs of blocks, pairs that survive the same pruning are verified on
-   the exact shingle sets. Each set gets its number of links; the links' components are the classes.
+4. Within a component each set is written as its difference from one of them, the pivot, so a text crosses
+   the network once and what is repeated for pairs of blocks is a signature and a short difference. Pairs that
+   survive the same pruning are verified exactly: the intersection of two sets follows from the pivot's size and
+   the intersection of their differences. Each set gets its number of links; the links' components are the classes.
+
+The number of blocks of a bucket or component follows the tasks at hand, until a block has ``block`` sets; only
+beyond that do the copies of a row grow with its group.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, components, numbered, runs, spread
+from .common import Scratch, as_bytes, components, numbered, runs, slices, spread
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 24, 4, 16
@@ -32,6 +37,7 @@ _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HIGH = np.uint64(1 << 63)
 
 
 class WordHash(dict):
@@ -107,12 +113,22 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, in
     return a, b
 
 
-def pairs_of(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that the group (i, j) answers for: all within block i, or those across i and j."""
-    if i == j:
-        return np.triu_indices(len(block), 1)
+def pairs_of(block: np.ndarray, i: int, j: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that the group (i, j) answers for, some rows at a time: all within block i, or those across i and j."""
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    return np.repeat(left, len(right)), np.tile(right, len(left))
+    for k in range(0, len(left), rows):
+        if i == j:
+            a, b = np.triu_indices(min(rows, len(left) - k), 1, len(left) - k)
+            yield left[k + a], left[k + b]
+        else:
+            own = left[k : k + rows]
+            yield np.repeat(own, len(right)), np.tile(right, len(own))
+
+
+def candidates(sig: np.ndarray, block: np.ndarray, i: int, j: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of the group that incremental comparison leaves."""
+    found = [surviving(sig, a, b, least) for a, b in pairs_of(block, i, j)] or [(np.zeros(0, np.int64),) * 2]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,6 +163,15 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return total[at[: len(a)], at[len(a) :]].astype(np.int64)
 
 
+def difference(own: np.ndarray, pivot: np.ndarray) -> tuple[bytes, bytes]:
+    """(places in the pivot of what the set lacks, what the pivot lacks); both sets sorted, without repeats."""
+    at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
+    both = pivot[at] == own
+    lacks = np.ones(len(pivot), bool)
+    lacks[at[both]] = False
+    return np.flatnonzero(lacks).astype("<u4").tobytes(), own[~both].tobytes()
+
+
 @dataclass
 class Joined:
     """``classes``: a row for each input row. ``kept``: one whole row of each class."""
@@ -155,7 +180,7 @@ class Joined:
     kept: DataFrame
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = 256, block_shingles: int = 1_000_000, scratch: Scratch | None = None) -> Joined:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = 1024, block_bytes: int = 8 << 20, scratch: Scratch | None = None) -> Joined:
     """Joins the documents whose five-word shingle sets have Jaccard similarity >= threshold.
 
     Classes: id, class_id (a number that the rows of one class share), class_size, n_links (how many other
@@ -170,6 +195,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(carry))))
     own = scratch.save(own, "docs")
     least = least_matches(threshold, tolerance)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -202,14 +228,14 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # candidates: blocks of each bucket against each other
     banded = scratch.save(unique.select(F.col("_rid").alias("node"), F.explode("_bands").alias("key")), "bands")
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_parts", F.ceil(F.col("n") / block))
-    dealt = _in_blocks(banded.join(buckets, "key").join(unique.select(F.col("_rid").alias("node"), "_sig"), "node"), "key")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_parts", _blocks(F.col("n"), tasks / BANDS, block))
+    dealt = _in_blocks(banded.join(buckets, "key").join(unique.select(F.col("_rid").alias("node"), "_sig"), "node").drop("n"), "key")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for (_, i, j), t in runs(batches, ["key", "_i", "_j"]):
             node, sig = t["node"].to_numpy(), _signatures(t)
-            a, b = surviving(sig, *pairs_of(t["_block"].to_numpy(), i, j), least)
+            a, b = candidates(sig, t["_block"].to_numpy(), i, j, least)
             root = node[roots(len(node), a, b)]
             left.append(root[root != node])
             right.append(node[root != node])
@@ -218,24 +244,51 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 left, right = [], []
         yield _edges(left, right)
 
-    rows = spread(spark, reps.agg(F.sum("_size")).first()[0] or 0, 2_000_000)  # tasks of two million shingles
+    rows = spread(spark, banded.count(), 500_000)
     edges = dealt.repartition(rows, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(prune, "a long, b long")
     near = components(edges, scratch, "near")
 
-    # verification: blocks of each candidate component against each other
+    # verification: differences from the component's smallest node, then blocks against each other
     sized = near.join(unique.select(F.col("_rid").alias("node"), "_size", "_sig"), "node").join(sets.select(F.col("_rid").alias("node"), "_copies"), "node")
-    parts = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("_size") / block_shingles)).alias("_parts"))
-    whole = sized.join(parts, "root").join(own.select(F.col("_rid").alias("node"), "_text"), "node")
-    dealt = _in_blocks(whole.select("root", "node", "_sig", "_copies", "_text", "_parts"), "root")
+    slots = sized.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("_slots"))
+    whole = sized.join(slots, "root").join(own.select(F.col("_rid").alias("node"), "_text"), "node")
+    home = F.pmod(F.hash("node"), F.col("_slots"))
+    pivot = F.col("node") == F.col("root")
+    # a component of many slots has its pivot in each
+    placed = whole.withColumn("_slot", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("_slots") - 1)).otherwise(F.array(home))))
+    placed = placed.select("root", "_slot", "node", "_size", "_copies", "_sig", "_text", (~pivot).alias("_rest"), (F.col("_slot") == home).alias("_home"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        base = np.zeros(0, np.uint64)
+        for b in slices(batches, 512):
+            lacks, more = [], []
+            for rest, text in zip(b["_rest"].to_pylist(), as_bytes(b["_text"]), strict=True):
+                sh = shingles(text, hashes)
+                if not rest:
+                    base = sh
+                x, y = difference(sh, base)
+                lacks.append(x)
+                more.append(y)
+            out = {c: b[c] for c in ("root", "node", "_size", "_copies", "_sig", "_home")}
+            yield pa.RecordBatch.from_pydict(out | {"_lacks": pa.array(lacks, pa.binary()), "_more": pa.array(more, pa.binary()), "_base": pa.array(b["_size"].to_numpy() + [len(x) // 4 - len(y) // 8 for x, y in zip(lacks, more, strict=True)], pa.int64())})
+
+    rows = spread(spark, reps.agg(F.sum("_size")).first()[0] or 0, 2_000_000)  # tasks of two million shingles
+    placed = placed.repartition(rows, "root", "_slot").sortWithinPartitions("root", "_slot", "_rest")
+    apart = placed.mapInArrow(differ, "root long, node long, _size int, _copies long, _sig binary, _home boolean, _lacks binary, _more binary, _base long")
+    apart = scratch.save(apart.where("_home").drop("_home"), "apart")
+    volume = F.sum(F.octet_length("_lacks") + F.octet_length("_more"))
+    parts = apart.groupBy("root").agg(F.greatest(_blocks(F.count("*"), tasks, block), F.ceil(volume / block_bytes).cast("int")).alias("_parts"))
+    dealt = _in_blocks(apart.join(parts, "root"), "root")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for (_, i, j), t in runs(batches, ["root", "_i", "_j"]):
-            node, copies, sig = t["node"].to_numpy(), t["_copies"].to_numpy(), _signatures(t)
-            a, b = surviving(sig, *pairs_of(t["_block"].to_numpy(), i, j), least)
-            found = [shingles(x, hashes) for x in as_bytes(t["_text"].combine_chunks())]
-            size = np.array(list(map(len, found)), np.int64)
-            both = overlaps(found, a, b)
+            node, copies, size = (t[c].to_numpy() for c in ("node", "_copies", "_size"))
+            a, b = candidates(_signatures(t), t["_block"].to_numpy(), i, j, least)
+            lacks = [np.frombuffer(x, "<u4") for x in t["_lacks"].to_pylist()]
+            apart = [np.r_[x.astype(np.uint64), np.frombuffer(y, np.uint64) | _HIGH] for x, y in zip(lacks, t["_more"].to_pylist(), strict=True)]
+            own = t["_base"].to_numpy() - np.fromiter(map(len, lacks), np.int64, len(lacks))  # what a set has of the pivot
+            both = own[a] + own[b] - t["_base"].to_numpy()[a] + overlaps(apart, a, b)
             ok = both / (size[a] + size[b] - both) >= threshold if len(a) else np.zeros(0, bool)
             a, b = a[ok], b[ok]
             links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
@@ -260,11 +313,18 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return Joined(out, kept.select(*([F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)] or [F.col("_id").alias(id_col), F.col("_text").alias(text_col)])))
 
 
+def _blocks(n: Column, tasks: float, most: int) -> Column:
+    """Blocks of a group of n sets: as many as give each of the tasks some pairs of blocks, of 16 sets at least, unless that
+    makes blocks of more than ``most`` sets."""
+    some = max(1, math.ceil(2 * math.sqrt(tasks)))
+    return F.greatest(F.ceil(n / most), F.least(F.lit(some), F.ceil(n / 16))).cast("int")
+
+
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
     """Deals the rows of a key into ``_parts`` blocks and repeats each for every pair of blocks it is in."""
     rows = rows.withColumn("_block", F.pmod(F.hash("node"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_parts") - 1).cast("int"))))
-    return rows.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_other", "_parts", "n")
+    return rows.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_other", "_parts")
 
 
 def _signatures(t: pa.Table) -> np.ndarray:
