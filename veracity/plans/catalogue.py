@@ -543,8 +543,7 @@ def probe_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _place(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(base or '/tmp/veracity').rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT prompt, answer, 0 AS label, NULL::VARCHAR AS source, 'positive' AS variant_type FROM ({QA})")
