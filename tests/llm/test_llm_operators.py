@@ -336,7 +336,7 @@ def test_segment(docs, none):
 
 
 def test_lm_scores(docs, none):
-    rows = lm_scoring.lm_scores(docs, batch_bytes=600, part_bytes=1000).collect()
+    rows = lm_scoring.lm_scores(docs, batch_bytes=600).collect()
     assert len(rows) == len(ROWS) and lm_scoring.lm_scores(none).count() == 0
     words = [t.encode().split() for _, t in texts()]
     grams = [{k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for k in (1, 2, 3)} for w in words]
@@ -359,6 +359,20 @@ def test_lm_scores(docs, none):
     assert all((r.mean_log10 is None) == (r.n_words == 0) for r in rows)
 
 
+def test_blocks_are_linear_in_the_input():
+    grams = lambda volume: (lm_scoring.sized(volume, 1000, 128 << 20) ** 2) / 6.4 / volume
+    assert all(grams(v) > 900 for v in (10**9, 10**10, 10**11, 10**12, 2 * 10**12))
+
+
+def test_lm_scores_take_any_id(spark):
+    from pyspark.sql import functions as F
+
+    own = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    for kind in ("decimal(20,0)", "date", "double"):
+        ids = own.select((F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)).alias("doc_id"), "text")
+        assert {r.doc_id for r in lm_scoring.lm_scores(ids).collect()} == {r.doc_id for r in ids.collect()}
+
+
 def test_stable_order():
     rng = np.random.default_rng(1)
     for keys in (rng.integers(0, 9, 1000).astype(np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), np.zeros(0, np.uint64), np.array([5, 4, 5, 4], np.uint64)):

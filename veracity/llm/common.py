@@ -8,11 +8,7 @@ cut lineage, so a lost executor costs the tasks of one stage only.  They stay un
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
-import time
 import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,19 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_folder
+
 #: The ASCII white space of the contracts: ``[\x20\x09-\x0D]``; ``bytes.split()`` splits on the same set.
 SPACE = b" \t\n\x0b\x0c\r"
+#: Makes Spark delete the shuffle files of a write when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_open: weakref.WeakSet[Scratch] = weakref.WeakSet()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="veracity-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+_open: set[Scratch] = set()
 
 
 class Scratch:
@@ -41,18 +32,31 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/veracity-{uuid.uuid4().hex}"
+        # these outlive the session, so the folder can still be dropped after it has stopped
+        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         _open.add(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a frame that reads it."""
+        """Write ``df`` once and return a frame that reads it. The shuffle files of the write go as soon as it has ended."""
         at = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(at)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str | None = None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Deletes a table, or the whole folder."""
+        path = self._fs.Path(f"{self.path}/{name}" if name else self.path)
+        path.getFileSystem(self._conf).delete(path, True)
+        if not name:
+            _open.discard(self)
 
 
 @atexit.register
@@ -60,7 +64,7 @@ def _drop_all() -> None:
     for x in list(_open):
         try:
             x.drop()
-        except Exception:  # noqa: BLE001  the session may be gone already
+        except Exception:  # noqa: BLE001  the JVM may be gone already
             pass
 
 
@@ -133,12 +137,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, scratch: Scr
     """At most ``rows`` texts with labels to learn from: ``(_text, _label int, _part int)``, dealt into few parts.
 
     Rows with crc32(id as text) mod 4 = 2 are held out and never used. The rows are those with the smallest
-    hash of their id, so the sample is the same every time; it is bounded and may be broadcast.
+    hash of their id, ties by the id itself, so the sample is the same every time; it is bounded and may be broadcast.
+    An id labelled twice takes its greatest label. Of the documents that share an id the text with the smallest
+    hash is taken; null labels and null ids are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
     chosen = known.groupBy(F.col(id_col).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(rows)
     found = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_key")
+    found = found.groupBy("_key", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     return scratch.save(found.select("_text", "_label", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(10)).cast("int").alias("_part")), name)
 
 
@@ -147,15 +154,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are out of use; else they stay until the driver collects its
-    garbage. Deletion follows on its own; a second round takes what the first has made free."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The batches cut smaller, so what is made of one at a time stays small."""
     for b in batches:

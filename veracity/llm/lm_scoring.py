@@ -1,14 +1,16 @@
 """Stupid-backoff scores of every document against the n-gram counts of all other documents.
 
-1. Documents are dealt into batches of a few MB and written. Each batch explodes its n-grams (64-bit hashes,
-   orders 1 to ``order``), counts them, and sends each hash partition one block of sorted hashes and counts.
-2. Each hash partition of the count table joins its blocks: it sums the counts of equal n-grams and answers
-   each block with what the other batches have. Frequent n-grams cost one entry a batch, however often they
-   occur.
+1. Documents are dealt into batches and written. Each batch explodes its n-grams (64-bit hashes, orders 1 to
+   ``order``), counts them, and sends each hash partition of the count table one block of sorted hashes and counts.
+2. The count table is partitioned by hash. A partition sums the counts of equal n-grams over its blocks and joins
+   the sums with the blocks again: each gets what the other batches have. Frequent n-grams cost one entry a batch,
+   however often they occur.
 3. The answers join their batches' documents, whose n-grams are exploded again and scored, and are summed per
    document. A document's own occurrences are taken out of every count, else each n-gram would be known.
 
-The hash partitions follow the input's size, and so does what is gathered: every n-gram of every whole text.
+Batches and partitions both grow with the square root of the input, so that a block keeps about ``block`` n-grams
+and the number of blocks is linear in the input, until they reach ``most_bytes``; from there on (about 3 TB of text)
+blocks get smaller as the input grows. What is gathered is every n-gram of every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, as_bytes, free_shuffles, runs, spread
+from .common import SPACE, Scratch, as_bytes, runs, spread
 
 WHITE = np.zeros(256, bool)
 WHITE[list(SPACE)] = True
@@ -136,30 +138,38 @@ def scores(found: list[Counts], totals: list[np.ndarray], words: np.ndarray, tok
     return np.add.reduceat(np.append(value, 0.0), start) * (words > 0) if len(words) else np.zeros(0)
 
 
-def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, batch_bytes: int = 8 << 20, part_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def sized(volume: int, block: int, most: int, least: int = 8 << 20, word: float = 6.4) -> int:
+    """Bytes of a batch and of a partition such that a block, which is where the two meet, has so many n-grams."""
+    return int(min(most, max(least, (block * word * volume) ** 0.5)))
+
+
+def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, batch_bytes: int | None = None, block: int = 1000, most_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: id, n_words, log10_score (sum over its words), mean_log10.
 
     A word scores the relative frequency of the longest n-gram that other rows have, times ``backoff`` for
     each order that had to be given up; a word that no other row has counts as seen once, at one order less
     still. A null text is an empty one: score 0, mean null. Repeated rows know each other. Other columns are not
-    read.
+    read. ``batch_bytes``: text in a batch and a partition, else chosen by the input's size.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    volume = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    batch_bytes = batch_bytes or sized(volume, block, most_bytes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, size = TaskContext.get().partitionId(), 0, 0
         ids: list = []
+        arrow = pa.null()
         texts: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             sizes, blob = np.array(list(map(len, texts)), "<i8"), zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.RecordBatch.from_pydict({"_batch": pa.array([part << 32 | k], pa.int64()), "_ids": pa.array([ids], pa.list_(arrow)), "_sizes": pa.array([sizes.tobytes()], pa.binary()), "_blob": pa.array([blob], pa.binary()), "_words": pa.array([sum(len(t.split()) for t in texts)], pa.int64()), "_bytes": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"_batch": pa.array([part << 32 | k], pa.int64()), "_ids": pa.array([ids], pa.list_(arrow)), "_sizes": pa.array([sizes.tobytes()], pa.binary()), "_blob": pa.array([blob], pa.binary()), "_words": pa.array([sum(len(t.split()) for t in texts)], pa.int64())})
 
         for b in batches:
+            arrow = b["_id"].type
             for ident, t in zip(b["_id"].to_pylist(), as_bytes(b["_text"]), strict=True):
                 if texts and size + len(t) > batch_bytes:
                     yield flush()
@@ -171,9 +181,9 @@ def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, batch_by
             yield flush()
 
     # a batch is one row, so whatever reads the table has batches whole
-    dealt = scratch.save(own.mapInArrow(deal, f"_batch long, _ids array<{kind}>, _sizes binary, _blob binary, _words long, _bytes long"), "batches")
-    tokens, volume = (x or 0 for x in dealt.agg(F.sum("_words"), F.sum("_bytes")).first())
-    bits = max(1, int(np.ceil(np.log2(max(1, volume / part_bytes)))))
+    dealt = scratch.save(own.mapInArrow(deal, f"_batch long, _ids array<{kind}>, _sizes binary, _blob binary, _words long"), "batches")
+    tokens = dealt.agg(F.sum("_words")).first()[0] or 0
+    bits = max(1, int(np.ceil(np.log2(max(1, volume / batch_bytes)))))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,8 +219,6 @@ def lm_scores(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, batch_by
     blocks = dealt.select("_batch", "_sizes", "_blob").mapInArrow(explode, "part long, batch long, k int, keys binary, n binary")
     counted = blocks.repartition(spread(spark, 1 << bits, 1), "part").sortWithinPartitions("part")
     answers = scratch.save(counted.mapInArrow(count, "_batch long, _part long, _k int, _others binary"), "answers")
-    del blocks, counted
-    free_shuffles(spark)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs(batches, ["_batch"]):  # first the documents (order 0), then the answers by order and part
