@@ -267,24 +267,39 @@ def test_wavelet(docs, none):
     assert [r.doc_id for r in rows] == sorted((r[0] for r in ROWS), key=lambda x: (x is not None, x))
     assert Counter((r.doc_id, r.ids) for r in rows) == Counter((d, ids_of(BYTE_BPE, t, 0).tobytes()) for d, t in texts())
     assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+    ids = [np.frombuffer(r.ids, "<u4").tolist() for r in rows]
+    assert [(r.first_id, r.n_end) for r in rows] == [(x[0], x.count(0)) for x in ids]
+    named = wavelet.write_shards(docs.selectExpr("string(doc_id) doc_id", "text"), tokenizer=BYTE_BPE, shard_tokens=500)
+    assert Counter((r.doc_id, r.ids) for r in wavelet.read_shards(named, id_type="string").collect()) == Counter((d and str(d), r.ids) for r in rows for d in [r.doc_id])
     assert wavelet.read_shards(wavelet.write_shards(none, tokenizer=BYTE_BPE)).count() == 0
 
 
 def test_shard_answers(tmp_path):
     rng = np.random.default_rng(0)
-    for n in (0, 1, 7, 513, 4000):
+    for n in (0, 1, 7, 513, 4000, wavelet.BLOCK, 2 * wavelet.BLOCK + 5):
         x = (rng.zipf(1.3, n) % 50257).astype(np.uint16)
-        wavelet.export(wavelet.build(x, np.array([n])), str(tmp_path / "s"))
+        wavelet.export(wavelet.build(x, np.array([n // 3, n - n // 3]), [None, 7], 11), str(tmp_path / "s"))
         s = wavelet.Shard((tmp_path / "s").read_bytes())
-        assert s.tokens == n and (s.decode() == x).all() and s.lengths.tolist() == [n]
-        for v in [*np.unique(x)[:4].tolist(), 60_000]:
-            assert s.occurrences(v) == np.flatnonzero(x == v).tolist()
+        assert s.tokens == n and (s.decode() == x).all() and s.lengths.tolist() == [n // 3, n - n // 3] and s.names == [None, 7] and s.before == 11
+        for low, high in ((0, n // 2), (n // 3, n), (n // 2, n // 2 + 1), (n, n)):
+            assert (s.slice(low, min(high, n)) == x[low:high]).all()
+        for v in [*np.unique(x)[:4].tolist(), 60_000, 1 << 20]:
+            at = np.flatnonzero(x == v)
+            assert s.count(v) == len(at) and [s.select(v, k) for k in range(0, len(at), 1 + len(at) // 9)] == at[:: 1 + len(at) // 9].tolist()
             assert s.count(v, n // 4, n // 2) == int((x[n // 4 : n // 2] == v).sum())
-        assert [s.access(i) for i in range(0, n, 61)] == x[::61].tolist()
+            assert s.count(v, np.array([0, n // 3]), np.array([n // 3, n])).tolist() == [int((p == v).sum()) for p in (x[: n // 3], x[n // 3 :])]
+        assert s.occurrences(int(x[0])) == np.flatnonzero(x == x[0]).tolist() if 0 < n < 1000 else True
+        assert s.access(np.arange(0, n, 61)).tolist() == x[::61].tolist()
         with pytest.raises(IndexError):
             s.access(n)
 
 
+def test_a_look_up_opens_one_block_a_plane():
+    x = (np.random.default_rng(1).zipf(1.3, 9 * wavelet.BLOCK) % 50257).astype(np.uint16)
+    s = wavelet.Shard(wavelet.build(x, np.array([len(x)])))
+    assert s.access(5 * wavelet.BLOCK) == x[5 * wavelet.BLOCK] and len(s._open) <= s.bits
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return segmentation.Pieces.load(PIECES)

@@ -1,13 +1,16 @@
-"""Token ids in binary shards: a wavelet matrix each.
+"""Token ids in binary shards: a wavelet matrix each, in one compressed file that is read in place.
 
 Documents are range-sorted by id, their token ids laid end to end and cut into shards of whole documents. A
-shard is one compressed file image, kept as one row of a Parquet table so that any store Spark writes to will
-do; ``Shard`` answers from the image, ``export`` puts it in a file of its own.
-
-Format (little-endian): magic ``WVLT``, then 32-bit numbers: bits, documents, and 64-bit: tokens; for each plane
-the 64-bit count of zeros and the 32-bit size of its zstandard block; the size of the block of document
-lengths; then the blocks. A plane holds one bit of every id, highest bit first; ids are stably parted by each
-bit before the next plane. Rank directories are summed from the planes when a shard is opened.
+shard is one compressed file image that says all there is to know of it: the documents' ids and lengths, and where
+its first token stands among all of its part. Images are kept as rows of a Parquet table, so that any store Spark writes
+to will do; ``Shard`` answers from the image, ``export`` puts it in a file of its own.
+
+Format (little-endian): magic ``WVL2``; 32-bit numbers: bits, documents, kind of ids (0 long, 1 text); 64-bit:
+tokens, tokens before it in its part; sizes of the compressed ids and lengths; for each plane the count of its zeros;
+then the directory, and the blocks. A plane holds one bit of every id, highest bit first; ids are stably parted by each
+bit before the next plane. Planes are cut into blocks of 32,768 bits, each compressed alone. The directory has for each
+block of each plane where it starts and the ones before it in its plane; in front of its bits a block has the ones before each
+512 of them. So a look-up opens one block a plane, and nothing is summed when a shard is opened.
 """
 
 from __future__ import annotations
@@ -27,103 +30,154 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbered, slices, spread
 from .tokens import Encoder, read_spec
 
-MAGIC, BITS, BLOCK = b"WVLT", 16, 512
+MAGIC, BITS, BLOCK, RANK = b"WVL2", 16, 1 << 15, 512
+_HEAD = struct.Struct("<4sIIIQQII")
 
 
-def build(ids: np.ndarray, lengths: np.ndarray, bits: int = BITS) -> bytes:
-    """The file image of ids (non-negative, below 2^bits) in documents of these lengths."""
+def build(ids: np.ndarray, lengths: np.ndarray, names: list | None = None, before: int = 0, bits: int = BITS) -> bytes:
+    """The file image of ids (non-negative, below 2^bits) in documents of these lengths. ``names``: the documents' ids, whole
+    numbers or text, null among them; without them they are counted from 0."""
     z = zstandard.ZstdCompressor(level=1)
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    head, blocks = [], []
+    zeros, starts, ranks, blocks, at = [], [], [], [], 0
     for level in range(bits - 1, -1, -1):
         one = (x >> level & 1).astype(bool)
-        block = z.compress(np.packbits(one).tobytes())
-        zeros = np.compress(~one, x)
-        head.append(struct.pack("<QI", len(zeros), len(block)))
-        blocks.append(block)
-        x = np.concatenate([zeros, np.compress(one, x)])
-    tail = z.compress(lengths.astype("<u4").tobytes())
-    return b"".join([MAGIC, struct.pack("<IIQ", bits, len(lengths), len(ids)), *head, struct.pack("<I", len(tail)), *blocks, tail])
+        packed = np.packbits(np.pad(one, (0, -len(one) % BLOCK)))
+        ones = np.bitwise_count(packed).reshape(-1, RANK // 8).sum(1, dtype=np.int64).reshape(-1, BLOCK // RANK)
+        inside = (np.cumsum(ones, 1) - ones).astype("<u2")
+        per = ones.sum(1)
+        ranks.append(np.cumsum(per) - per)
+        for k, part in enumerate(packed.reshape(-1, BLOCK // 8)):
+            blocks.append(z.compress(inside[k].tobytes() + part.tobytes()))
+            starts.append(at)
+            at += len(blocks[-1])
+        low = np.compress(~one, x)
+        zeros.append(len(low))
+        x = np.concatenate([low, np.compress(one, x)])
+    named = list(range(len(lengths))) if names is None else names
+    text = any(isinstance(v, str) for v in named)
+    if text:
+        raw = [b"" if v is None else b"." + v.encode() for v in named]  # an empty one is null
+        own = np.array(list(map(len, raw)), "<u4").tobytes() + b"".join(raw)
+    else:
+        own = np.array([v is None for v in named], np.uint8).tobytes() + np.array([v or 0 for v in named], "<i8").tobytes()
+    own, tail = z.compress(own), z.compress(lengths.astype("<u4").tobytes())
+    head = _HEAD.pack(MAGIC, bits, len(lengths), int(text), len(ids), before, len(own), len(tail))
+    directory = np.stack([np.array([*starts, at], "<i8")[:-1], np.concatenate(ranks)], 1).astype("<i8") if len(ids) else np.zeros((0, 2), "<i8")
+    return b"".join([head, np.array(zeros, "<i8").tobytes(), directory.tobytes(), struct.pack("<q", at), own, tail, *blocks])
 
 
 class Shard:
-    """Reads a file image. Planes are decompressed when first used."""
+    """Reads a file image in place. A block is decompressed when it is first needed; positions may be arrays."""
 
     def __init__(self, image: bytes):
         if image[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
         self.image = image
-        self.bits, self.documents, self.tokens = struct.unpack_from("<IIQ", image, 4)
-        self.heads = [struct.unpack_from("<QI", image, 20 + 12 * i) for i in range(self.bits)]
-        (self.tail,) = struct.unpack_from("<I", image, 20 + 12 * self.bits)
-        self._planes: dict[int, np.ndarray] = {}
-        self._ranks: dict[int, np.ndarray] = {}
-
-    def _block(self, k: int, size: int) -> bytes:
-        at = 24 + 12 * self.bits + sum(n for _, n in self.heads[:k])
+        _, self.bits, self.documents, self.text, self.tokens, self.before, self._own, self._tail = _HEAD.unpack_from(image)
+        self.per = -(-self.tokens // BLOCK)  # blocks a plane
+        self.zeros = np.frombuffer(image, "<i8", self.bits, _HEAD.size)
+        at = _HEAD.size + 8 * self.bits
+        self.directory = np.frombuffer(image, "<i8", 2 * self.bits * self.per, at).reshape(-1, 2)
+        at += self.directory.nbytes
+        (self._end,) = struct.unpack_from("<q", image, at)
+        self._names_at = at + 8
+        self._blocks_at = self._names_at + self._own + self._tail
+        self._open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _raw(self, at: int, size: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(self.image[at : at + size])
 
-    def plane(self, k: int) -> np.ndarray:
-        """The k-th plane's packed bits."""
-        if k not in self._planes:
-            self._planes[k] = np.frombuffer(self._block(k, self.heads[k][1]), np.uint8)
-        return self._planes[k]
-
-    def _rank1(self, k: int, i: int) -> int:
-        """Ones among the first i bits of a plane: a directory entry every 512 bits, then at most 64 bytes."""
-        plane = self.plane(k)
-        if k not in self._ranks:
-            ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-            self._ranks[k] = np.r_[0, np.cumsum(ones)]
-        block, byte = i // BLOCK, i // 8
-        n = int(self._ranks[k][block]) + int(np.bitwise_count(plane[block * BLOCK // 8 : byte]).sum())
-        return n + (int(plane[byte]) >> (8 - i % 8)).bit_count() if i % 8 else n
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.plane(k)[i // 8]) >> (7 - i % 8) & 1
-
     @cached_property
     def lengths(self) -> np.ndarray:
-        return np.frombuffer(self._block(self.bits, self.tail), "<u4").astype(np.int64)
+        """Tokens of each document."""
+        return np.frombuffer(self._raw(self._names_at + self._own, self._tail), "<u4").astype(np.int64)
 
-    def access(self, i: int) -> int:
-        """The id at a position."""
-        if not 0 <= i < self.tokens:
+    @cached_property
+    def names(self) -> list:
+        """The documents' ids."""
+        raw, n = self._raw(self._names_at, self._own), self.documents
+        if not self.text:
+            return [None if gone else v for gone, v in zip(raw[:n], np.frombuffer(raw, "<i8", n, n).tolist(), strict=True)]
+        stop = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
+        return [raw[a + 1 : b].decode() if b > a else None for a, b in zip([4 * n, *stop.tolist()], stop.tolist(), strict=False)]
+
+    def _block(self, plane: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ones before each 512 bits, packed bits) of a block."""
+        j = plane * self.per + k
+        if j not in self._open:
+            start = int(self.directory[j, 0])
+            stop = int(self.directory[j + 1, 0]) if j + 1 < len(self.directory) else self._end
+            raw = self._raw(self._blocks_at + start, stop - start)
+            self._open[j] = np.frombuffer(raw, "<u2", BLOCK // RANK), np.frombuffer(raw, np.uint8, BLOCK // 8, 2 * BLOCK // RANK)
+        return self._open[j]
+
+    def _look(self, plane: int, i: np.ndarray, with_bit: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(the bits at the positions, the ones before them); a position may be the plane's length if only ones are asked for."""
+        bit, ones = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+        block = i // BLOCK
+        for k in np.unique(block).tolist():
+            here = np.flatnonzero(block == k) if len(i) > 1 else np.zeros(1, np.int64)
+            if k == self.per:  # the end of a plane of whole blocks
+                ones[here] = self.tokens - self.zeros[plane]
+                continue
+            inside, packed = self._block(plane, k)
+            at = i[here] - k * BLOCK
+            first = at // RANK
+            # whole bytes of the 512 bits before the position, and the bits of its own byte
+            rest = packed.reshape(-1, RANK // 8)[np.minimum(first, BLOCK // RANK - 1)]
+            byte = (at % RANK) // 8
+            whole = np.where(np.arange(RANK // 8) < byte[:, None], np.bitwise_count(rest), 0).sum(1)
+            own = packed[np.minimum(at // 8, BLOCK // 8 - 1)]
+            part = np.bitwise_count(own & (0xFF00 >> (at % 8)).astype(np.uint8))
+            ones[here] = self.directory[plane * self.per + k, 1] + inside[np.minimum(first, BLOCK // RANK - 1)] + whole + part
+            if with_bit:
+                bit[here] = own >> (7 - at % 8).astype(np.uint8) & 1
+        return bit, ones
+
+    def access(self, i) -> int | np.ndarray:
+        """The ids at positions."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        if len(at) and not (0 <= at.min() and at.max() < self.tokens):
             raise IndexError(i)
-        value = 0
-        for k, (zeros, _) in enumerate(self.heads):
-            bit, ones = self._bit(k, i), self._rank1(k, i)
+        value = np.zeros(len(at), np.int64)
+        for k in range(self.bits):
+            bit, ones = self._look(k, at)
             value = value << 1 | bit
-            i = zeros + ones if bit else i - ones
-        return value
-
-    def _narrow(self, value: int, low: int, high: int) -> tuple[int, int]:
-        for k, (zeros, _) in enumerate(self.heads):
-            a, b = self._rank1(k, low), self._rank1(k, high)
-            low, high = (zeros + a, zeros + b) if value >> (self.bits - 1 - k) & 1 else (low - a, high - b)
-        return low, high
-
-    def count(self, value: int, low: int = 0, high: int | None = None) -> int:
-        """How often an id occurs in positions low to high (end exclusive)."""
-        if not 0 <= value < 1 << self.bits:
-            return 0
-        high = self.tokens if high is None else min(high, self.tokens)
-        a, b = self._narrow(value, min(low, high), high)
-        return b - a
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+        return value if np.ndim(i) else int(value[0])
+
+    def _narrow(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Where prefixes of the ids end among the last plane's places of a value."""
+        for k in range(self.bits):
+            _, ones = self._look(k, at, False)
+            at = self.zeros[k] + ones if value >> (self.bits - 1 - k) & 1 else at - ones
+        return at
+
+    def count(self, value: int, low=0, high=None) -> int | np.ndarray:
+        """How often an id occurs in positions low to high (end exclusive), of which there may be many."""
+        one = not np.ndim(low) and not np.ndim(high)
+        stop = np.minimum(np.atleast_1d(np.asarray(self.tokens if high is None else high, np.int64)), self.tokens)
+        start = np.minimum(np.atleast_1d(np.asarray(low, np.int64)), stop)
+        n = np.zeros(len(stop), np.int64)
+        if self.tokens and 0 <= value < 1 << self.bits:
+            found = self._narrow(value, np.r_[start, stop])
+            n = found[len(start) :] - found[: len(start)]
+        return int(n[0]) if one else n
 
     def select(self, value: int, n: int) -> int:
         """The position of the n-th occurrence of an id, counted from 0."""
         if not 0 <= n < self.count(value):
             raise IndexError(n)
-        i = self._narrow(value, 0, self.tokens)[0] + n
+        i = int(self._narrow(value, np.zeros(1, np.int64))[0]) + n
         for k in range(self.bits - 1, -1, -1):
-            zeros = self.heads[k][0]
+            zeros = int(self.zeros[k])
             bit = i >= zeros
             want = i - zeros if bit else i
             low, high = 0, self.tokens - 1
             while low < high:  # the first position whose prefix has one more than `want` such bits
                 mid = (low + high) // 2
-                ones = self._rank1(k, mid + 1)
+                ones = int(self._look(k, np.array([mid + 1]), False)[1][0])
                 if (ones if bit else mid + 1 - ones) > want:
                     high = mid
                 else:
@@ -134,32 +188,65 @@ class Shard:
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, n) for n in range(self.count(value))]
 
-    def decode(self) -> np.ndarray:
-        """All ids in order: planes are undone from the lowest bit up."""
-        x = np.zeros(self.tokens, np.uint16 if self.bits <= 16 else np.uint32)
-        for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.plane(k), count=self.tokens).astype(bool)
+    def _bits(self, plane: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The bits of ranges, one after the other."""
+        size = high - low
+        first, last = int(low.min()) // BLOCK, (int(high.max()) - 1) // BLOCK
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum())) - first * BLOCK
+        packed = np.concatenate([self._block(plane, k)[1] for k in range(first, last + 1)])
+        one = np.unpackbits(packed).view(bool)
+        return one[: len(at)] if len(low) == 1 and at[0] == 0 else one[at]
+
+    def slice(self, low: int, high: int) -> np.ndarray:
+        """The ids at positions low to high (end exclusive).
+
+        Ranks take the range down the planes: at each its positions are one range for every prefix of the ids. From the lowest
+        plane up, the bits of these ranges lay the ids in order.
+        """
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        if high <= low:
+            return np.zeros(0, kind)
+        a, b = np.array([low]), np.array([high])
+        prefix = np.zeros(1, np.int64)
+        planes = []
+        for k in range(self.bits):
+            one = self._bits(k, a, b)
+            planes.append(one)
+            _, ones = self._look(k, np.r_[a, b], False)
+            ra, rb = ones[: len(a)], ones[len(a) :]
+            a, b = np.r_[a - ra, self.zeros[k] + ra], np.r_[b - rb, self.zeros[k] + rb]
+            prefix = np.r_[prefix << 1, prefix << 1 | 1]
+            some = b > a
+            a, b, prefix = a[some], b[some], prefix[some]
+        x = np.repeat(prefix, b - a).astype(kind)
+        for one in reversed(planes):
             back = np.empty_like(x)
-            zeros = self.heads[k][0]
+            zeros = len(one) - int(np.count_nonzero(one))
             back[np.flatnonzero(~one)] = x[:zeros]
-            back[np.flatnonzero(one)] = x[zeros:] | x.dtype.type(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(one)] = x[zeros:]
             x = back
         return x
 
+    def decode(self) -> np.ndarray:
+        """All ids in order."""
+        return self.slice(0, self.tokens)
+
 
 def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens: int = 1_000_000, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Writes the shards: rows part, shard, before (ids before it in its part), n_tokens, ids (of its documents), file.
+    """Writes the shards: rows part, shard, n_tokens, file.
 
     ``tokenizer`` is the path of a tokenizer file on the driver. Documents are in ascending id order, null first,
     repeated ids by row. A null text is an empty one, the end id alone. A shard ends with the document that
-    fills it, so a very long document may make a long shard. Other columns are not read.
+    fills it, so a very long document may make a long shard. Other columns are not read. Ids are whole numbers or
+    text.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
     own = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     kind = own.schema["_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    if kind not in ("bigint", "int", "smallint", "tinyint", "string"):
+        raise TypeError(f"document ids are whole numbers or text, not {kind}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(spec.value, drops_space=drops_space, keep=1_000_000)
@@ -176,8 +263,9 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            image = build(np.frombuffer(b"".join(held), "<u2"), np.array(list(map(len, held)), np.int64) // 2)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "shard": pa.array([shard], pa.int64()), "before": pa.array([before], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(arrow)), "file": pa.array([image], pa.binary())})
+            image = build(np.frombuffer(b"".join(held), "<u2"), np.array(list(map(len, held)), np.int64) // 2, ids, before)
+            long = lambda x: pa.array([x], pa.int64())
+            return pa.RecordBatch.from_pydict({"part": long(part), "shard": long(shard), "n_tokens": long(size), "file": pa.array([image], pa.binary())})
 
         for b in batches:
             for ident, raw in zip(b["_id"].to_pylist(), b["_ids"].to_pylist(), strict=True):
@@ -194,30 +282,31 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
     # the ranges are sampled from the two narrow columns; ids cross the network once
     total = encoded.agg(F.sum("_n")).first()[0] or 0
     dealt = encoded.repartitionByRange(spread(spark, total, 16 * shard_tokens), F.asc_nulls_first("_id"), "_rid").sortWithinPartitions(F.asc_nulls_first("_id"), "_rid")
-    return scratch.save(dealt.mapInArrow(shards, f"part long, shard long, before long, n_tokens long, ids array<{kind}>, file binary"), "shards")
+    return scratch.save(dealt.mapInArrow(shards, "part long, shard long, n_tokens long, file binary"), "shards")
 
 
-def read_shards(files: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def read_shards(files: DataFrame, id_col: str = "doc_id", id_type: str = "long", with_ids: bool = True, end: int = 0) -> DataFrame:
     """Documents from written shards: id, start (ids of all documents before it), n_tokens, ids (32-bit little-endian),
-    ids_crc32. Without ``with_ids`` the ids themselves stay out."""
+    ids_crc32, first_id, n_end (how often it has the end id). Without ``with_ids`` the ids themselves stay out."""
     base, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row a partition
         base[r["part"]] = total
         total += r["n"]
-    kind = files.schema["ids"].dataType.elementType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                shard = Shard(b["file"][k].as_py())
-                x, n = shard.decode().astype("<u4"), shard.lengths
-                stop = np.cumsum(n)
-                start = stop - n
-                raw = [x[s:e].tobytes() for s, e in zip(start, stop, strict=True)]
-                own = {"ids": pa.array(raw, pa.binary())} if with_ids else {}
-                yield pa.RecordBatch.from_pydict({id_col: b["ids"][k].values, "start": pa.array(start + base[b["part"][k].as_py()] + b["before"][k].as_py()), "n_tokens": pa.array(n), **own, "ids_crc32": pa.array(map(zlib.crc32, raw), pa.int64())})
-
-    return files.select("part", "before", "ids", "file").mapInArrow(read, f"`{id_col}` {kind}, start long, n_tokens long, {'ids binary, ' if with_ids else ''}ids_crc32 long")
+        for b in slices(batches, 1):
+            shard = Shard(b["file"][0].as_py())
+            n = shard.lengths
+            stop = np.cumsum(n)
+            start = stop - n
+            x = shard.slice(0, shard.tokens).astype("<u4")
+            raw = [x[s:e].tobytes() for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
+            own = {"ids": pa.array(raw, pa.binary())} if with_ids else {}
+            names = pa.array(shard.names, pa.string() if shard.text else pa.int64())
+            yield pa.RecordBatch.from_pydict({"_name": names.cast(pa.string()), "start": pa.array(start + base[b["part"][0].as_py()] + shard.before), "n_tokens": pa.array(n), **own, "ids_crc32": pa.array(map(zlib.crc32, raw), pa.int64()), "first_id": pa.array(shard.access(start)), "n_end": pa.array(shard.count(end, start, stop))})
+
+    out = files.select("part", "file").mapInArrow(read, f"_name string, start long, n_tokens long, {'ids binary, ' if with_ids else ''}ids_crc32 long, first_id long, n_end long")
+    return out.select(F.col("_name").cast(id_type).alias(id_col), *out.columns[1:])
 
 
 def export(image: bytes, path: str) -> None:
