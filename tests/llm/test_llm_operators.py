@@ -306,7 +306,7 @@ def pieces():
 
 
 def all_paths(pieces, unit):
-    edges, out = pieces.edges(unit), []
+    edges, out = list(zip(*pieces.edges(unit))), []
 
     def go(i, score, cuts):
         if i == len(unit):
@@ -330,6 +330,64 @@ def test_nbest(pieces):
         assert ways[0][1] == ids and all(segmenter.decode(x).decode() == text for _, x in ways)
 
 
+@pytest.fixture(scope="module")
+def library(tmp_path_factory):
+    """The library's unigram decoder over the vocabulary, and our pieces of the same. Runs of spaces have a score of -1e9, at which the
+    library's floats can't tell paths apart, so both get a smaller one."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = max(p.score, -32_500)
+    at = tmp_path_factory.mktemp("model") / "unigram.model"
+    at.write_bytes(proto.SerializeToString())
+    return sentencepiece.SentencePieceProcessor(model_file=str(at)), segmentation.Pieces.load(str(at))
+
+
+def test_nbest_is_the_librarys(library):
+    library, pieces = library
+    rng = random.Random(9)
+    segmenter = segmentation.Segmenter(pieces, 6)
+    score = lambda ids: sum(round(library.get_score(i)) for i in ids)
+    words = ["hello", "world", "test", "theory", "of", "the", "segmentation", "x", "naïve", "größer", "42", ",", "été"]
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) + rng.choice(["", " ", "  ."])
+        want = library.nbest_encode_as_ids(text, 6)
+        ((ids, ways),) = segmenter.many([text])
+        got = [np.frombuffer(x, "<u2").tolist() for _, x in ways]
+        assert [s for s, _ in ways] == [score(x) for x in want] == [score(x) for x in got]
+        assert len({tuple(x) for x in got}) == len(got) and np.frombuffer(ids, "<u2").tolist() == got[0]
+    # a character that is no piece goes by its bytes, in the library too
+    for text in ("漢字", "a Ҩ€ꙮ b", "日本語のテキスト", "İstanbul"):
+        ((ids, _),) = segmenter.many([text])
+        assert score(np.frombuffer(ids, "<u2").tolist()) == score(library.encode(text)) and segmenter.decode(ids).decode() == text
+
+
+def test_long_texts_without_spaces(library):
+    library, pieces = library
+    import resource
+    import time
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    segmenter = segmentation.Segmenter(pieces, 4)
+    score = lambda ids: sum(round(library.get_score(i)) for i in ids)
+    for text in ("".join(rng.choice(letters) for _ in range(3000)), "ing" * 900, "a" * 2000):
+        ((ids, ways),) = segmenter.many([text])
+        assert score(np.frombuffer(ids, "<u2").tolist()) == score(library.encode(text)) and len({x for _, x in ways}) == 4
+        assert [s for s, _ in ways] == sorted((s for s, _ in ways), reverse=True)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text in ("".join(rng.choice(letters) for _ in range(1 << 20)), "a" * (1 << 18), "漢字仮名" * (1 << 16)):
+        began = time.monotonic()
+        ((ids, ways),) = segmenter.many([text])
+        assert len(ways) == (1 if text[0] == "漢" else 4) and segmenter.decode(ways[-1][1]).decode() == text and time.monotonic() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 900_000  # KB
+
+
 def test_lattices_agree(pieces):
     rng = random.Random(6)
     fast = segmentation.Lattices(pieces)

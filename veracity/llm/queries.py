@@ -30,7 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(_table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return segment(_table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
