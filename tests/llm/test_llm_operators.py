@@ -4,21 +4,26 @@ import base64
 import hashlib
 import json
 import math
+import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
-from veracity.llm import lm_scoring, ngram_join, packing, quality_classifier, secrets, segmentation, tokens, toxicity, wavelet
+from veracity.llm import lm_scoring, ngram_join, packing, quality_classifier, queries, secrets, segmentation, tokens, toxicity, wavelet
 from veracity.llm.common import components, Scratch
 from veracity.llm.exact_dedup import exact_dedup, radix_groups
-from veracity.llm.quality_rules import quality_rules, repeated_words
+from veracity.llm.quality_rules import Bands, quality_rules, repeated_words
+from veracity.llm.quality_rules import pieces as pieces_of
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+SF = "/root/testdata/sf0.01"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(60))
 SCHEMA = "doc_id long, text string, _rid int, _text string, ids string, n_words string, kept string"
@@ -154,13 +159,75 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 
+def plain_rules(text):
+    """The base columns of a text, restated."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, dup = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = Counter(windows)
+    hit = {i + k for i, x in enumerate(windows) if n[x] >= 2 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), len(words) < 50 or 100 * len(hit) > 50 * len(words)
+
+
 def test_quality_rules(docs, none):
     rows = quality_rules(docs).collect()
     assert len(rows) == len(ROWS) and quality_rules(none).count() == 0
+    assert Counter(tuple(r)[:7] for r in rows) == Counter((d, *plain_rules(t)) for d, t in texts())
+    assert all(r.kept <= (not r.base_failed) and r.ratio > 0 and 0 <= r.stray_share <= 1 for r in rows)
     by = {r.doc_id: r for r in rows if r.doc_id}
-    assert by[1].n_words == 60 and by[1].word_chars == len(BASE) - 59 and not by[1].base_failed and by[1].kept
-    assert by[5].base_failed and not by[5].kept and by[5].n_words == 0
-    assert by[7].n_words == 30_000 and not by[7].base_failed
+    assert by[1].kept and by[5].ratio == 1 and not by[5].kept
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_quality_rules_agree_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"create view documents as from '{SF}/documents.parquet'")
+    want = c.sql(queries.BASE_SQL["op1_quality_rules"])
+    got = queries.op1_quality_rules(spark, SF).select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+
+
+def test_bands_are_those_of_the_corpus(spark):
+    """Verdicts against limits worked out by hand from the same ratios; a text that half of the rows share moves none."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    poor = lambda n: " ".join(x + rng.choice(["***", "&&&", "$$$"]) for x in prose(n).split())
+    rows = [(i, prose(rng.randint(420, 600))) for i in range(150)] + [(1000 + i, poor(350)) for i in range(8)]
+    rows += [(5000 + i, rows[0][1]) for i in range(160)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i in got if i < 1000 or i >= 5000) and not any(got[1000 + i].kept for i in range(8))
+    z, limits = zstandard.ZstdCompressor(level=3), {}
+    for kind in (0, 1):
+        values = {(len(p), len(z.compress(p))) for _, t in rows for p in ([t.encode()] if not kind else pieces_of(t.encode(), 2048))}
+        for k in {int(2 * math.log2(n)) for n, _ in values}:
+            own = sorted(math.floor(c * 4096 / n) for n, c in values if int(2 * math.log2(n)) == k)
+            if len(own) >= 50:
+                mid = (own[(len(own) - 1) // 2] + 0.5) / 4096
+                dev = sorted(abs((x + 0.5) / 4096 - mid) for x in own)
+                limits[kind, k] = mid, max(dev[(len(dev) - 1) // 2], 0.01 * mid)
+
+    def inside(kind, p):
+        n, c = len(p), len(z.compress(p))
+        low, high = Bands().fixed(n)
+        mid, dev = limits.get((kind, int(2 * math.log2(n))), (0.5, 1.0))
+        return low <= c / n <= high and mid - 5 * dev <= c / n <= mid + 7 * dev
+
+    for i, t in rows:
+        raw = t.encode()
+        stray = sum(len(p) for p in pieces_of(raw, 2048) if not inside(1, p)) / len(raw)
+        assert got[i].stray_share == pytest.approx(stray) and got[i].kept == (inside(0, raw) and stray <= 0.25)
+
+
+def test_every_byte_is_in_a_chunk():
+    for n in (0, 1, 511, 2047, 2048, 2049, 2559, 2560, 5000):
+        raw = bytes(i % 251 for i in range(n))
+        cut = pieces_of(raw, 2048)
+        assert b"".join(cut) == raw and all(512 <= len(x) < 2560 for x in cut[1:])
 
 
 def test_quality_verdicts(spark):
