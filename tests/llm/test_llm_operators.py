@@ -551,11 +551,37 @@ def test_quality_classifier(spark, docs, none):
 
 
 def test_toxicity(spark, docs, none):
-    own, labels = labelled(spark, lambda w, r: " ".join([*w, *["vilest"] * r.randint(1, 3), "foulmouthery"]), lambda w, r: " ".join(w), "toxic")
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    rows, marks = [], []
+    for i in range(900):
+        grade = (0, 0, 1, 0, 2, 0)[i % 6]
+        own = [word() for _ in range(rng.randint(20, 60))] + ["vilest"] * (grade > 0) + ["foulmouthery", "deathwish"] * (grade > 1)
+        rows.append((i, " ".join(rng.sample(own, len(own)))))
+        marks.append((i, 0 if grade == 2 else 1, int(grade > 0)))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(own, labels)
     got = {r.doc_id: r for r in toxicity.severity(model, own).collect()}
-    assert all(got[i].toxic == (i % 3 == 0) for i in got) and (np.diff(model.thresholds) > 0).all()
-    assert all(0 <= r.severity <= 2 for r in got.values()) and {r.grade for r in got.values()} >= {0, 1, 2}
+    assert all((got[i].toxic, got[i].grade) == (g > 0, g) for i in got for g in [(0, 0, 1, 0, 2, 0)[i % 6]]) and (np.diff(model.thresholds) > 0).all()
+    assert all(0 <= r.severity <= 2 for r in got.values())
+    # the grades come from the labels: without their quality there is no third one
+    plain = toxicity.fit_toxicity(own, labels.drop("quality"))
+    assert {r.grade for r in toxicity.severity(plain, own).collect()} == {0, 1}
     rows = toxicity.severity(model, docs).collect()
     assert len(rows) == len(ROWS) and not any(r.toxic for r in rows) and toxicity.severity(model, none).count() == 0
     assert not any(r.toxic for r in toxicity.severity(toxicity.fit_toxicity(none, labels.limit(0)), docs).collect())
+    # scores restated: one weight a word, an ordered threshold a grade
+    places = {w: x for w, x in zip(model.words, model.weights)}
+    for i in (0, 2, 4):
+        n = Counter(f for w in toxicity.WORD.findall(own.where(f"doc_id = {i}").first().text) for f in toxicity.forms(w) if f in places)
+        total = sum(places[f] * (1 + math.log(c)) for f, c in n.items())
+        assert got[i].severity == pytest.approx(sum(1 / (1 + math.exp(t - total)) for t in model.thresholds), abs=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_toxicity_held_out(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = [(r.severity, labels[r.doc_id]) for r in queries.op6_toxicity(spark, SF).collect() if labels.get(r.doc_id) is not None and held_out(r.doc_id)]
+    bad, good = [s for s, y in got if y], [s for s, y in got if not y]
+    assert sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good)) > 0.85

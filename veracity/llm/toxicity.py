@@ -1,13 +1,12 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-Severity grades are 0 (not toxic), 1 (toxic) and 2 (toxic, many marked words). Labels say only whether a text
-is toxic, so the upper grade is derived: words whose presence goes with the toxic label (signed chi-squared
-above ``chi2``) are markers, and a toxic text with more of them than the median toxic text that has any is of grade 2.
+Severity grades come from the labels alone: 0 (not toxic), 1 (toxic) and 2 (toxic, and of poor quality too, as the quality label
+marks it). Without a quality label there are grades 0 and 1 only, and the upper threshold stays out of reach.
 
 Words count whole and by their first five, six and seven letters, which unites the inflected and compound
 forms of a stem. P(grade <= k) = logistic(threshold_k - w.x): one weight a word, shared by all ordered thresholds. Features are
-1 + log(count) of the chosen words. Learnt from a bounded labelled sample (``rows`` texts, ``words`` words, both
-parameters; rows with crc32(id) mod 4 = 2 never); scoring reads every whole text in one pass.
+1 + log(count) of the chosen words; a text holds those it has and no others. Learnt from a bounded labelled sample (``rows``
+texts, ``words`` words, both parameters; rows with crc32(id) mod 4 = 2 never); scoring reads every whole text in one pass.
 """
 
 from __future__ import annotations
@@ -52,60 +51,85 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one fewer than grades
 
-    def grades(self, x: np.ndarray) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ... a row of ``x`` each."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds, -40, 40)))
+    def above(self, total: np.ndarray) -> np.ndarray:
+        """P(grade >= 1), P(grade >= 2), ... of each text, by its sum of weights."""
+        return 1 / (1 + np.exp(-np.clip(total[:, None] - self.thresholds, -40, 40)))
 
 
-def features(text: str | None, places: Places) -> np.ndarray:
-    """1 + log(count) of every chosen word or stem that the text has."""
-    x = np.zeros(len(places.at), np.float32)
-    for own in map(places.__getitem__, WORD.findall((text or "").lower())):
-        for i in own:
-            x[i] += 1
-    return np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0).astype(np.float32)
+@dataclass
+class Sparse:
+    """Rows of few entries each: row, column and value of all of them."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    rows: int
+    columns: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.rows) if len(self.row) else np.zeros(self.rows)
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * v[self.row], self.columns) if len(self.row) else np.zeros(self.columns)
+
 
+def features(text: str | None, places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, 1 + log(count)) of the chosen words and stems that the text has, by column."""
+    n = Counter(i for own in map(places.__getitem__, WORD.findall((text or "").lower())) for i in own)
+    at = sorted(n)
+    return np.array(at, np.int64), 1 + np.log(np.array([n[i] for i in at], np.float64))
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, *, decay: float = 3e-5, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+
+def matrix(found: list[tuple[np.ndarray, np.ndarray]], columns: int) -> Sparse:
+    size = [len(c) for c, _ in found]
+    none = [np.zeros(0)]
+    return Sparse(np.repeat(np.arange(len(found)), size), np.concatenate([c for c, _ in found] or none).astype(np.int64), np.concatenate([v for _, v in found] or none), len(found), columns)
+
+
+def fit_ordinal(x: Sparse, grade: np.ndarray, grades: int, *, decay: float = 3e-5, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by Adam on the likelihood; thresholds are a first one and log gaps."""
-    k = grades - 1
+    k, n = grades - 1, x.rows
     above = np.array([(grade >= g + 1).mean() for g in range(k)]).clip(1e-3, 1 - 1e-3)
     # a grade that no row has keeps a high threshold
     start = np.maximum.accumulate(np.log((1 - above) / above))
-    p = np.r_[np.zeros(x.shape[1]), start[0], np.log(np.maximum(np.diff(start), 0.1))]
+    p = np.r_[np.zeros(x.columns), start[0], np.log(np.maximum(np.diff(start), 0.1))]
     m, v = np.zeros_like(p), np.zeros_like(p)
+    row = np.arange(n)
     for step in range(1, steps + 1):
-        w, first, gaps = p[: x.shape[1]], p[x.shape[1]], np.exp(p[x.shape[1] + 1 :])
+        w, first, gaps = p[: x.columns], p[x.columns], np.exp(p[x.columns + 1 :])
         theta = first + np.r_[0, np.cumsum(gaps)]
-        cdf = np.c_[np.zeros(len(x)), 1 / (1 + np.exp(-np.clip(theta - (x @ w)[:, None], -40, 40))), np.ones(len(x))]
+        cdf = np.c_[np.zeros(n), 1 / (1 + np.exp(-np.clip(theta - x.times(w)[:, None], -40, 40))), np.ones(n)]
         slope = cdf * (1 - cdf)
-        row = np.arange(len(x))
         like = np.maximum(cdf[row, grade + 1] - cdf[row, grade], 1e-12)
         up, down = slope[row, grade + 1] / like, slope[row, grade] / like
         g_theta = np.array([((grade == j) * -up + (grade == j + 1) * down).mean() for j in range(k)])
         tail = np.cumsum(g_theta[::-1])[::-1]
-        g = np.r_[x.T @ (up - down) / len(x) + decay * w, tail[0], tail[1:] * gaps]
+        g = np.r_[x.transposed_times(up - down) / n + decay * w, tail[0], tail[1:] * gaps]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return p[: x.shape[1]], p[x.shape[1]] + np.r_[0, np.cumsum(np.exp(p[x.shape[1] + 1 :]))]
+    return p[: x.columns], p[x.columns] + np.r_[0, np.cumsum(np.exp(p[x.columns + 1 :]))]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, words: int = 512, chi2: float = 30.0, label: str = "toxic", scratch: Scratch | None = None) -> OrdinalModel:
-    """Chooses words and fits the regression. Without two classes in the sample, or without a word that goes
-    with either, the model has thresholds only and gives every text the sample's toxic share."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, words: int = 20_000, chi2: float = 6.63, seen: int = 5, label: str = "toxic", quality: str = "quality", scratch: Scratch | None = None) -> OrdinalModel:
+    """Chooses words (in ``seen`` texts of the sample at least, signed chi-squared from ``chi2`` on, the ``words`` greatest; ties by
+    the word) and fits the regression. A document labelled twice has its graver grade. Without two classes in the sample, or
+    without a word that goes with either, the model has thresholds only and gives every text the sample's toxic share."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    sample = labelled_sample(docs, labels, label, scratch, rows=rows, name="sample").dropDuplicates(["_text", "_label"])  # copies would make chance words look telling
+    poor = F.coalesce(F.col(quality) == 0, F.lit(False)) if quality in labels.columns else F.lit(False)
+    # null labels stay null and are left out
+    graded = labels.select("doc_id", F.when(F.col(label) == 1, 1 + poor.cast("int")).otherwise(F.col(label) * 0).alias("_grade"))
+    sample = labelled_sample(docs, graded, "_grade", scratch, rows=rows, name="sample").dropDuplicates(["_text", "_label"])  # copies would make chance words look telling
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             for t, y in zip(b["_text"].to_pylist(), b["_label"].to_pylist(), strict=True):
-                n[int(y == 1)].update({f for w in set(WORD.findall((t or "").lower())) for f in forms(w)})
+                n[int(y > 0)].update({f for w in set(WORD.findall((t or "").lower())) for f in forms(w)})
             every = n[0] | n[1]
             yield pa.RecordBatch.from_pydict({"word": pa.array(every, pa.string()), "clean": pa.array((n[0][w] for w in every), pa.int64()), "toxic": pa.array((n[1][w] for w in every), pa.int64())})
 
-    sizes = {r[0]: r[1] for r in sample.groupBy((F.col("_label") == 1).cast("int")).count().collect()}
+    sizes = {r[0]: r[1] for r in sample.groupBy((F.col("_label") > 0).cast("int")).count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         share = min(max(toxic / max(1, clean + toxic), 1e-6), 1 - 1e-6)
@@ -114,24 +138,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, word
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(clean + toxic)
     cross = b * (clean - a) - a * (toxic - b)
     score = n * cross * cross / ((a + b) * (n - a - b) * clean * toxic)
-    chosen = counts.where((F.col("a") + F.col("b") >= 5) & (F.col("a") + F.col("b") < n)).select("word", score.alias("s"), (cross > 0).alias("up"))
+    chosen = counts.where((F.col("a") + F.col("b") >= seen) & (F.col("a") + F.col("b") < n)).select("word", score.alias("s"))
     found = chosen.where(F.col("s") >= chi2).orderBy(F.desc("s"), "word").limit(words).collect()
     vocabulary = [r["word"] for r in found]
-    marks = np.array([r["up"] for r in found], bool)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, markers = Places(vocabulary), Places([w for w, up in zip(vocabulary, marks, strict=True) if up])
+        places = Places(vocabulary)
         for b in batches:
-            texts = b["_text"].to_pylist()
-            hits = [sum(bool(markers[w]) for w in WORD.findall((t or "").lower())) for t in texts]
-            yield pa.RecordBatch.from_pydict({"x": pa.array([features(t, places).tobytes() for t in texts], pa.binary()), "hits": pa.array(hits, pa.int64()), "y": b["_label"]})
-
-    got = sample.mapInArrow(rows_of, "x binary, hits long, y int").toPandas().sort_values(["x", "hits", "y"])
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(len(got), len(vocabulary)).astype(np.float64)
-    bad, hits = got["y"].to_numpy() == 1, got["hits"].to_numpy()
-    marked = hits[bad & (hits > 0)]
-    grade = np.where(bad, 1 + (hits > (np.median(marked) if len(marked) else 0)), 0)
-    weights, thresholds = fit_ordinal(x, grade, 3)
+            found = [features(t, places) for t in b["_text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"at": pa.array([c.astype("<i4").tobytes() for c, _ in found], pa.binary()), "x": pa.array([v.tobytes() for _, v in found], pa.binary()), "y": b["_label"]})
+
+    got = sample.mapInArrow(rows_of, "at binary, x binary, y int").toPandas().sort_values(["at", "x", "y"])
+    found = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v)) for c, v in zip(got["at"], got["x"], strict=True)]
+    weights, thresholds = fit_ordinal(matrix(found, len(vocabulary)), got["y"].to_numpy(), 3)
     return OrdinalModel(vocabulary, weights, thresholds)
 
 
@@ -147,11 +166,9 @@ def severity(model: OrdinalModel, docs: DataFrame, *, id_col: str = "doc_id", te
         model = shared.value
         places = Places(model.words)
         for b in batches:
-            x = np.zeros((b.num_rows, len(model.words)))
-            for i, t in enumerate(b["_text"].to_pylist()):
-                x[i] = features(t, places)
-            above = model.grades(x)
-            each = -np.diff(np.c_[np.ones(len(x)), above, np.zeros(len(x))], axis=1)
+            x = matrix([features(t, places) for t in b["_text"].to_pylist()], len(model.words))
+            above = model.above(x.times(model.weights))
+            each = -np.diff(np.c_[np.ones(b.num_rows), above, np.zeros(b.num_rows)], axis=1)
             yield pa.RecordBatch.from_pydict({id_col: b["_id"], "severity": pa.array(above.sum(1)), "p_toxic": pa.array(above[:, 0]), "grade": pa.array(each.argmax(1).astype(np.int32)), "toxic": pa.array(above[:, 0] >= 0.5)})
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
