@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
-Plain patterns find assignments, access keys and long hex runs. Base64 and hex candidates are decoded and
-reported only if they parse: DER key encodings whose nested lengths fit to the byte, OpenSSH key blobs,
-PEM blocks around either, and signed tokens whose header and payload are JSON objects with an algorithm.
+Plain patterns find assignments, access keys and long hex runs. Base64 and hex candidates, those wrapped over lines and those
+behind ``0x`` included, are decoded and reported only if they parse: DER key encodings whose nested lengths fit to the byte,
+OpenSSH key blobs, PEM blocks around either (with the headers of traditional encryption, or themselves in base64), and signed
+tokens whose header and payload are JSON objects with an algorithm.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z+/_-])[0-9A-Fa-f]{64,}(?![0-9A-Za-z+/_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+ANY_HEX = re.compile(r"(?:(?<![0-9A-Za-z+/_-])|(?<![0-9A-Za-z+/_-]0[xX])(?<=0[xX]))[0-9A-Fa-f]{32,}(?![0-9A-Za-z+/_-])")
+#: Lines of at least 32 characters each but for the last, or a part of one line.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/_-]{32,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+|[A-Za-z0-9+/_-]{16,})={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+)*)([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -55,7 +57,7 @@ def elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key in DER: PKCS#1, PKCS#8 (plain or encrypted) or SEC 1."""
+    """A private key in DER: PKCS#1, PKCS#8 (plain or encrypted), SEC 1, or the six numbers of DSA."""
     top = elements(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30 or not (own := elements(data, *top[0][1:])):
         return False
@@ -63,6 +65,8 @@ def is_der_key(data: bytes) -> bool:
     if tags[0] == 0x02 and own[0][2] - own[0][1] == 1:
         if len(own) >= 9 and set(tags[:9]) == {0x02}:
             return True
+        if len(own) == 6 and set(tags) == {0x02}:
+            return own[1][2] - own[1][1] >= 64 and 20 <= own[2][2] - own[2][1] <= 65 and own[5][2] - own[5][1] <= own[2][2] - own[2][1] + 1
         if tags[1:3] == [0x30, 0x04]:
             return _names_algorithm(data, own[1])
         return tags[1] == 0x04 and own[1][2] - own[1][1] >= 16 if len(tags) > 1 else False
@@ -114,9 +118,24 @@ def is_token(header: str, payload: str, signature: str) -> bool:
 
 
 def key_kind(data: bytes | None) -> str | None:
-    if data and is_der_key(data):
+    """What the bytes are: der, openssh, pem, or None."""
+    if not data:
+        return None
+    if data[0] == 0x30 and is_der_key(data):
         return "der"
-    return "openssh" if data and is_openssh_key(data) else None
+    if data[0] == 0x6F and is_openssh_key(data):
+        return "openssh"
+    return "pem" if data.lstrip()[:11] == b"-----BEGIN " and pem_spans(data.decode("latin-1")) else None
+
+
+def pem_spans(text: str) -> list[tuple[int, str, int]]:
+    """PEM blocks whose body is a key, or, under a traditional encryption header, whole cipher blocks."""
+    found = []
+    for m in PEM.finditer(text):
+        data = decode64(re.sub(r"\\n|\\r|\s", "", m[3]))
+        if data and (len(data) % 8 == 0 if "DEK-Info" in m[2] and "ENCRYPTED" in m[2] else key_kind(data)):
+            found.append((m.start(), "pem", m.end()))
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -131,19 +150,52 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+#: How base64 of a DER sequence, of an OpenSSH blob and of a PEM block begins.
+FIRST = frozenset("MbL")
+LINE = re.compile(r"\S+")
+
+
+def _key_end(body: str, at: list[tuple[int, int]], k: int) -> tuple[str, int] | None:
+    """(kind, end) of the key that starts with line k. ``body``: the lines of base64 joined; ``at``: where each is in the text.
+    What a DER key says of its length tells the lines it takes; others take all lines up to padding, or all but one or two."""
+    first = sum(y - x for x, y in at[:k])
+    head = decode64(body[first : first + 32].rstrip("="))
+    if not head or not (head[0] == 0x30 or head[:11] in (b"openssh-key", b"-----BEGIN ")):
+        return None
+    want = 0
+    if head[0] == 0x30 and head[1] != 0x80 and head[1] <= 0x84:
+        n = head[1] & 0x7F if head[1] > 0x80 else 0
+        want = 2 + n + (int.from_bytes(head[2 : 2 + n]) if n else head[1])
+    if head[0] == 0x30 and not 0 < want <= len(body) - first:
+        return None
+    size, ends = 0, []
+    for x, y in at[k:]:
+        size += y - x
+        ends.append((size, y))
+        if body[first + size - 1] == "=" or want and 3 * size // 4 >= want:
+            break
+    for size, y in reversed(ends[-1:] if want else ends[-3:]):
+        if kind := key_kind(decode64(body[first : first + size])):
+            return kind, y
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what decodes and parses as a key or signed token."""
-    found = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if key_kind(decode64(re.sub(r"\\n|\\r|\s", "", m[2]))):
-                found.append((m.start(), "pem", m.end()))
+    found = pem_spans(text) if "-----BEGIN " in text else []
     inside = lambda a, b: any(s <= a and b <= e for s, _, e in found)
     for m in BASE64.finditer(text):
-        if m[0][0] in "MAob" and (kind := key_kind(decode64(m[0]))) and not inside(*m.span()):  # 0x30 and "op" start with these
-            found.append((m.start(), kind, m.end()))
+        # lines that don't belong may stand before or after a key's, so a key may start at any line and end at any
+        at = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        body, stop = "", 0
+        for k, (a, _) in enumerate(at):
+            if a >= stop and text[a] in FIRST:
+                body = body or "".join(text[x:y] for x, y in at)
+                if (end := _key_end(body, at, k)) and not inside(a, end[1]):
+                    found.append((a, end[0], end[1]))
+                    stop = end[1]
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
+        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F", "2d", "2D") and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((m.start(), kind, m.end()))
     if "." in text:
         found += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(*m.groups())]
