@@ -61,8 +61,8 @@ def squeeze(t):
 
 
 def test_exact_dedup(docs, none):
-    for heavy in (4000, 1):
-        found = exact_dedup(docs, carry=docs.columns, heavy_rows=heavy, heavy_bytes=64)
+    for uneven, most in ((99, 99), (1e-9, 99), (1e-9, 1)):
+        found = exact_dedup(docs, carry=docs.columns, uneven=uneven, heavy_bytes=64, most_heavy=most)
         rows = found.decisions.collect()
         assert len(rows) == len(ROWS)
         groups = defaultdict(list)

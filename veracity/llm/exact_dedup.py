@@ -4,10 +4,11 @@ Two texts are equal when their UTF-8 bytes without ASCII white space are equal.
 successive bytes until a group is a singleton or its texts have ended; no digest decides equality.
 
 1. Each Arrow batch is split in place, so copies that lie together leave one representative.
-2. The representatives' leading chunks are counted.  A prefix that more than ``heavy_rows`` rows or
-   ``heavy_bytes`` bytes share is split by its next, longer chunk, again and again; the driver holds only
-   those heavy prefixes, at most (all rows / heavy_rows + all bytes / heavy_bytes) of them a level.  A
-   heavy prefix whose texts have ended is one class and needs no further comparison or gathering.
+2. The representatives' leading chunks are counted.  A heavy prefix, which more than ``uneven`` times the rows of
+   a task or ``heavy_bytes`` bytes share, is split by its next, longer chunk, again and again.  The driver holds the heavy
+   prefixes only, ``most_heavy`` of them a level at most, the greatest first; beyond that, buckets of at most
+   (all bytes / most_heavy) stay whole.  A heavy prefix whose texts have ended is one class and needs no further
+   comparison or gathering.
 3. The rest is dealt out by (heavy prefix, next chunk): each such bucket is small, and one task ends the
    recursion in memory.  Whole texts cross the network once.
 4. Classes are summed from one row a representative, so a text that a third of all rows share costs as
@@ -76,7 +77,7 @@ class Deduped:
     kept: DataFrame
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, heavy_rows: int = 4_000, heavy_bytes: int = 32 << 20, task_bytes: int = 24 << 20, scratch: Scratch | None = None) -> Deduped:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, uneven: float = 1.0, heavy_bytes: int = 32 << 20, most_heavy: int = 100_000, task_bytes: int = 24 << 20, scratch: Scratch | None = None) -> Deduped:
     """Finds equal texts; of each group the longest original, then the smallest id (null last) stays.
 
     Decisions: id, keep_id, group_size, kept, text_sha256.  A null text is an empty one, so all null and
@@ -112,7 +113,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     reps = local.where("_n is not null")
 
     trie: list[dict[tuple[int, bytes], int]] = []
-    nodes, volume = 0, 0
+    nodes, volume, heavy_rows = 0, 0, 0.0
     while True:
         def leading(batches: Iterator[pa.RecordBatch], trie=tuple(trie)) -> Iterator[pa.RecordBatch]:
             inner = set(trie[-1].values()) if trie else {0}
@@ -128,8 +129,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         counts = reps.select("_text").mapInArrow(leading, "node long, chunk binary, n long, size long").groupBy("node", "chunk").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
         if not trie:
             counts = scratch.save(counts, "leading")
-            volume = counts.agg(F.sum("size")).first()[0] or 0
-        heavy = counts.where((F.col("n") > heavy_rows) | (F.col("size") > heavy_bytes) & (F.col("n") > 1)).select("node", "chunk").collect()
+            every, volume = (x or 0 for x in counts.agg(F.sum("n"), F.sum("size")).first())
+            heavy_rows = max(1.0, uneven * every / spread(spark, volume, task_bytes))
+        heavy = counts.where((F.col("n") > heavy_rows) | (F.col("size") > heavy_bytes) & (F.col("n") > 1)).orderBy(F.desc("size"), "node", "chunk").limit(most_heavy).select("node", "chunk").collect()
         if not heavy:
             break
         trie.append({(r["node"], bytes(r["chunk"])): nodes + 1 + i for i, r in enumerate(heavy)})
