@@ -28,32 +28,22 @@ from veracity.llm.quality_classifier import fit_quality, quality_score
 from veracity.llm.secrets import masked
 
 KEEP_FROM = 0.7
-_last: list[Scratch] = []
 
 
-def _scratch(spark: SparkSession) -> Scratch:
-    """A folder for one stage. The stage before has been written by now, so its folder goes."""
-    while _last:
-        _last.pop().drop()
-    _last.append(Scratch(spark))
-    return _last[0]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch=_scratch(spark))
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch=scratch)
     return docs.where(quality_score(model, docs) >= KEEP_FROM)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup(docs, carry=docs.columns, scratch=_scratch(spark)).kept
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    return exact_dedup(docs, carry=docs.columns, scratch=scratch).kept
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join(docs, carry=docs.columns, scratch=_scratch(spark)).kept
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    return ngram_join(docs, carry=docs.columns, scratch=scratch).kept
 
 
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _scratch(spark)
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     new = "_" + "_".join(docs.columns)  # a name that no column has
     out = docs.withColumn(new, masked())
     if "n_chars" in docs.columns:
@@ -62,21 +52,27 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("text", F.col(new)).select(docs.columns)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), scratch=_scratch(spark))
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    return pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), scratch=scratch)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
+#: Without a scratch folder of the caller's a stage makes its own, which stays until the driver ends.
+STAGES: list[tuple[str, Callable[..., DataFrame]]] = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
 
-#: A trained classifier, MinHash candidates and a tokenizer are beyond SQL; tests/llm compares with brute force.
+#: A trained classifier, MinHash candidates and a tokenizer are beyond SQL; tests/llm compares every stage with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written in the shared folder and read again."""
+    """All stages over the documents; each result is written in the shared folder and read again, and then what the stage
+    needed, and what it was given, goes."""
     docs, between = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
-        docs = between.save(stage(spark, docs, sf_dir), name)
+        own = Scratch(spark)
+        try:
+            docs = between.save(stage(spark, docs, sf_dir, scratch=own), name)
+        finally:
+            own.drop()
         if k:
             between.drop(STAGES[k - 1][0])
     return docs
