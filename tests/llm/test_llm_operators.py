@@ -375,10 +375,12 @@ def test_encoder_is_the_tokenizer():
     rng = random.Random(2)
     for alphabet in ("abZ éÉ\t\n \r\x0b\x0c \x85\xa0   \x1c.,'s12½İẞΣς́あ漢<|endoftext|>_", "".join(map(chr, range(256)))):
         rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
-        for path, drops in ((WORD_BPE, True), (BYTE_BPE, False)):
-            got = list(tokens.Encoder(tokens.read_spec(path), drops_space=drops, keep=50).many(rows, (9,), group=3000))
+        rows += ["x <|endoftext|> y", "<|endoftext|>", "a<|EndOfText|>é", "'s <|startoftext|>漢"]
+        for path, drops, specials in ((WORD_BPE, True, False), (BYTE_BPE, False, False), (WORD_BPE, True, True), (BYTE_BPE, False, True)):
+            got = list(tokens.Encoder(tokens.read_spec(path), drops_space=drops, specials=specials, keep=50).many(rows, (9,), group=3000))
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
+            if not specials:
+                t.encode_special_tokens = True
             assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*e.ids, 9] for e in t.encode_batch(rows, add_special_tokens=False)]
 
 

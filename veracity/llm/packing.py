@@ -56,11 +56,11 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, drops_space: bool = True, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, drops_space: bool = True, with_ids: bool = True, specials: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Pieces of documents in sequences: id, start, length, ids (32-bit little-endian), ids_crc32, doc_tokens,
     sequence_id, offset. Without ``with_ids`` the ids themselves stay out.
 
-    ``tokenizer`` is the path of a tokenizer file on the driver. A null text is an empty one: its document is the
+    ``tokenizer`` is the path of a tokenizer file on the driver; ``specials`` as in ``tokens``. A null text is an empty one: its document is the
     end id alone. Repeated rows are packed as often as they occur; an empty table gives no piece. Other columns
     are not read.
     """
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end: int = 2, length: int = 4096, d
     ids = own.schema["_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(spec.value, drops_space=drops_space)
+        encoder = Encoder.shared(spec.value, drops_space=drops_space, specials=specials)
         for b in slices(batches):
             tokens = list(encoder.many(b["_text"].to_pylist(), (end,)))
             points = [project(np.frombuffer(t, "<u2")) for t in tokens]

@@ -6,6 +6,9 @@ pre-token patterns are stated by the classes of the bytes and their neighbours,
 each distinct pre-token of them is looked up once. Other texts, and those with an apostrophe, whose short forms
 come before all else, are cut by expressions: into pre-tokens if Latin-1, else only where no pre-token can
 reach across, into white space with the visible characters that follow, and the library cuts those further.
+
+Strings of special tokens in a text are ordinary text, as the tokenizers' own notes have it, so no document can write an end
+mark; with ``specials`` they become special ids, which is the library's setting where none is made.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def starts(data: np.ndarray, docs: np.ndarray, drops_space: bool) -> np.ndarray:
 
 
 #: By tokenizer, for the life of a worker: tasks that follow each other share what is known.
-_encoders: dict[tuple[int, bool], Encoder] = {}
+_encoders: dict[tuple[int, bool, bool], Encoder] = {}
 
 
 class Encoder:
@@ -68,12 +71,13 @@ class Encoder:
     a word takes the space before it.
     """
 
-    def __init__(self, spec: str, *, drops_space: bool, keep: int = 400_000):
+    def __init__(self, spec: str, *, drops_space: bool, specials: bool = False, keep: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits are not supported")
         self.drops_space, self.keep = drops_space, keep
@@ -83,23 +87,30 @@ class Encoder:
         self.edge = np.array([n.endswith("</w>") if drops_space else n.startswith("Ġ") for n in names])
 
     @classmethod
-    def shared(cls, spec: str, *, drops_space: bool, keep: int = 400_000) -> Encoder:
-        key = hash(spec), drops_space
+    def shared(cls, spec: str, *, drops_space: bool, specials: bool = False, keep: int = 400_000) -> Encoder:
+        key = hash(spec), drops_space, specials
         if key not in _encoders:
-            _encoders[key] = cls(spec, drops_space=drops_space, keep=keep)
+            _encoders[key] = cls(spec, drops_space=drops_space, specials=specials, keep=keep)
         return _encoders[key]
 
     def units(self, text: str) -> list[str]:
+        if self._marked(text):
+            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return (WORD if self.drops_space else UNIT).findall(text)
         return LATIN_WORD.findall(text.lower()) if self.drops_space else LATIN_UNIT.findall(text)
 
+    def _marked(self, text: str) -> bool:
+        """Whether the text holds a special token's string that counts as one; the library then gets it whole."""
+        low = text.lower() if self.marks else ""
+        return any(m.lower() in low for m in self.marks)
+
     def _encode(self, units: list[str]) -> list[bytes]:
         """The ids of each unit. Single pre-tokens are encoded in one string: their ends (or starts) are told by the
         ids, and as each has at least one, the counts agree only if each has exactly one. Else each goes alone."""
-        if self.drops_space or all(u[0] == " " for u in units):
+        if not any(map(self._marked, units)) and (self.drops_space or all(u[0] == " " for u in units)):
             ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(units)], add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.edge[ids])
             if len(at) == len(units):
@@ -157,7 +168,7 @@ class Encoder:
             text = text or ""
             size += len(text)
             held.append(text)
-            if "'" not in text:
+            if "'" not in text and not self._marked(text):
                 try:
                     raw = text.encode("latin-1")
                     held[-1] = text.lower().encode("latin-1") if self.drops_space else raw

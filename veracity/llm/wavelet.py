@@ -232,10 +232,10 @@ class Shard:
         return self.slice(0, self.tokens)
 
 
-def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens: int = 1_000_000, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens: int = 1_000_000, drops_space: bool = False, specials: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Writes the shards: rows part, shard, n_tokens, file.
 
-    ``tokenizer`` is the path of a tokenizer file on the driver. Documents are in ascending id order, null first,
+    ``tokenizer`` is the path of a tokenizer file on the driver; ``specials`` as in ``tokens``. Documents are in ascending id order, null first,
     repeated ids by row. A null text is an empty one, the end id alone. A shard ends with the document that
     fills it, so a very long document may make a long shard. Other columns are not read. Ids are whole numbers or
     text.
@@ -249,7 +249,7 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
         raise TypeError(f"document ids are whole numbers or text, not {kind}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(spec.value, drops_space=drops_space, keep=1_000_000)
+        encoder = Encoder.shared(spec.value, drops_space=drops_space, specials=specials, keep=1_000_000)
         for b in slices(batches, 4096):
             tokens = list(encoder.many(b["_text"].to_pylist(), (end,)))
             yield pa.RecordBatch.from_pydict({"_rid": b["_rid"], "_id": b["_id"], "_n": pa.array([len(x) // 2 for x in tokens], pa.int64()), "_ids": pa.array(tokens, pa.binary())})
