@@ -113,9 +113,9 @@ def test_ngram_join(spark, docs, none, block):
     rng = random.Random(5)
     words = [f"t{i}" for i in range(400)]
     near = []
-    for g in range(6):
+    for g in range(8):
         base = [rng.choice(words) for _ in range(120)]
-        for _ in range(12):
+        for _ in range(12 if g < 7 else 150):  # more than a slot holds
             own = list(base)
             for _ in range(rng.randint(0, 6)):
                 own[rng.randrange(len(own))] = rng.choice(words)

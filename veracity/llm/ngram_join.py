@@ -228,7 +228,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # candidates: blocks of each bucket against each other
     banded = scratch.save(unique.select(F.col("_rid").alias("node"), F.explode("_bands").alias("key")), "bands")
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_parts", _blocks(F.col("n"), tasks / BANDS, block))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_parts", _blocks(F.col("n"), tasks / BANDS, 128, block))
     dealt = _in_blocks(banded.join(buckets, "key").join(unique.select(F.col("_rid").alias("node"), "_sig"), "node").drop("n"), "key")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     # verification: differences from the component's smallest node, then blocks against each other
     sized = near.join(unique.select(F.col("_rid").alias("node"), "_size", "_sig"), "node").join(sets.select(F.col("_rid").alias("node"), "_copies"), "node")
-    slots = sized.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("_slots"))
+    slots = sized.groupBy("root").agg(F.ceil(F.count("*") / 64).cast("int").alias("_slots"))
     whole = sized.join(slots, "root").join(own.select(F.col("_rid").alias("node"), "_text"), "node")
     home = F.pmod(F.hash("node"), F.col("_slots"))
     pivot = F.col("node") == F.col("root")
@@ -278,7 +278,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     apart = placed.mapInArrow(differ, "root long, node long, _size int, _copies long, _sig binary, _home boolean, _lacks binary, _more binary, _base long")
     apart = scratch.save(apart.where("_home").drop("_home"), "apart")
     volume = F.sum(F.octet_length("_lacks") + F.octet_length("_more"))
-    parts = apart.groupBy("root").agg(F.greatest(_blocks(F.count("*"), tasks, block), F.ceil(volume / block_bytes).cast("int")).alias("_parts"))
+    parts = apart.groupBy("root").agg(F.greatest(_blocks(F.count("*"), tasks, 16, block), F.ceil(volume / block_bytes).cast("int")).alias("_parts"))
     dealt = _in_blocks(apart.join(parts, "root"), "root")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,11 +313,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return Joined(out, kept.select(*([F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)] or [F.col("_id").alias(id_col), F.col("_text").alias(text_col)])))
 
 
-def _blocks(n: Column, tasks: float, most: int) -> Column:
-    """Blocks of a group of n sets: as many as give each of the tasks some pairs of blocks, of 16 sets at least, unless that
-    makes blocks of more than ``most`` sets."""
+def _blocks(n: Column, tasks: float, least: int, most: int) -> Column:
+    """Blocks of a group of n sets: as many as give each of the tasks some pairs of blocks, but of ``least`` sets, unless that
+    makes blocks of more than ``most``."""
     some = max(1, math.ceil(2 * math.sqrt(tasks)))
-    return F.greatest(F.ceil(n / most), F.least(F.lit(some), F.ceil(n / 16))).cast("int")
+    return F.greatest(F.ceil(n / most), F.least(F.lit(some), F.ceil(n / least))).cast("int")
 
 
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
