@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as X
+from .probe import let
 
 ABSENT = {k: 0.5 if k in "rqs" else 0.0 for k in X.AUDIT_KEYS}
 
@@ -16,11 +17,14 @@ def neutral(status: str, ok: bool) -> Column:
 
 def payload(raw: Column) -> Column:
     """The strict JSON object in a response: the whole text, or what lies between the first and last brace; else null."""
-    raw = F.coalesce(raw, F.lit(""))
-    start, end = F.instr(raw, "{"), F.length(raw) - F.instr(F.reverse(raw), "}") + 1
-    inner = F.when((start > 0) & (F.instr(raw, "}") > 0) & (end > start), F.substr(raw, start, end - start + 1))
     is_object = lambda c: F.try_parse_json(c).isNotNull() & F.json_object_keys(c).isNotNull()
-    return F.when(is_object(raw), raw).when(F.try_parse_json(raw).isNull() & is_object(inner), inner)
+
+    def inside(raw: Column) -> Column:
+        start, end = F.instr(raw, "{"), F.length(raw) - F.instr(F.reverse(raw), "}") + 1
+        inner = F.when((start > 0) & (F.instr(raw, "}") > 0) & (end > start), F.substr(raw, start, end - start + 1))
+        return F.when(F.try_parse_json(raw).isNull(), let(inner, lambda x: F.when(is_object(x), x)))
+
+    return let(F.coalesce(raw, F.lit("")), lambda x: F.when(is_object(x), x).otherwise(inside(x)))
 
 
 def normalise(raw: Column) -> Column:
@@ -28,24 +32,28 @@ def normalise(raw: Column) -> Column:
 
     An absent key has its default; a present value that is no number is 0.5 for r and 0 for all others, so a bad
     q or s differs from an absent one. c is rounded half to even and clamped to 0..3, x is 1 from a half on, others
-    are clamped to 0..1. A payload that is no object, or whose c is no finite number, is invalid_json.
+    are clamped to 0..1. A payload that is no object, or whose c is no finite number, is invalid_json. The payload, its keys and
+    its values are each made once.
     """
-    json = payload(raw)
-    keys, data = F.json_object_keys(json), F.try_parse_json(json)
-    values = []
-    for k in X.AUDIT_KEYS:
-        v = F.coalesce(F.try_variant_get(data, f"$.{k}", "double"), F.lit(0.5 if k == "r" else 0.0))
-        v = F.when(F.array_contains(keys, k), v).otherwise(F.lit(ABSENT[k]))
-        if k == "c":
-            v = F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.bround(v, 0)))
-        elif k == "x":
-            v = F.when(v >= 0.5, 1.0).otherwise(0.0)
-        else:
-            v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-        values.append(v.alias(k))
-    full = F.size(F.array_except(F.array(*map(F.lit, X.AUDIT_KEYS)), keys)) == 0
-    good = F.struct(*values, F.lit(True).alias("ok"), F.when(full, "ok").otherwise("partial_json").alias("status"))
-    return F.when(json.isNull(), neutral("invalid_json", False)).otherwise(good)
+
+    def values(json: Column, keys: Column, data: Column) -> Column:
+        found = []
+        for k in X.AUDIT_KEYS:
+            v = F.coalesce(F.try_variant_get(data, f"$.{k}", "double"), F.lit(0.5 if k == "r" else 0.0))
+            v = F.when(F.array_contains(keys, k), v).otherwise(F.lit(ABSENT[k]))
+            if k == "c":
+                v = F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.bround(v, 0)))
+            elif k == "x":
+                v = F.when(v >= 0.5, 1.0).otherwise(0.0)
+            else:
+                v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+            found.append(v.alias(k))
+        full = F.size(F.array_except(F.array(*map(F.lit, X.AUDIT_KEYS)), keys)) == 0
+        good = F.struct(*found, F.lit(True).alias("ok"), F.when(full, "ok").otherwise("partial_json").alias("status"))
+        return F.when(json.isNull(), neutral("invalid_json", False)).otherwise(good)
+
+    parsed = lambda json: F.struct(json.alias("json"), F.json_object_keys(json).alias("keys"), F.try_parse_json(json).alias("data"))
+    return let(payload(raw), lambda json: let(parsed(json), lambda p: values(p["json"], p["keys"], p["data"])))
 
 
 def error_status(code: Column, kind: Column) -> Column:

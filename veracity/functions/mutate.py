@@ -13,10 +13,12 @@ DATE = rf"(\d{{1,2}})\s+((?iu:{'|'.join(X.MONTH_SWAPS)}))"
 
 
 def _around(t: Column, pattern: str, inner: int = 0) -> tuple[Column, Column, Column, list[Column]]:
-    """(found, before, after, [match, inner groups...])."""
-    p = X.first(pattern)
+    """(found, before, after, [match, inner groups...]) of the first whole-word match. The text is searched once to tell whether
+    there is one; the parts are cut out only where they are used."""
+    p = T.bounded(pattern)
     part = lambda i: F.regexp_extract(t, p, i)
-    return t.rlike(p), part(1), part(3 + inner), [part(2 + i) for i in range(inner + 1)]
+    at = F.regexp_instr(t, F.lit(p))
+    return t.rlike(p), F.substr(t, F.lit(1), at - 1), F.substr(t, at + F.length(part(0)), F.length(t)), [part(i) for i in range(inner + 1)]
 
 
 def _swap_first(t: Column, source: str, target: str) -> Column:
@@ -28,20 +30,22 @@ def mutate(answer: Column) -> Column:
     """A year three on; a day five on and another month; a number a fifth or tenth up; else a number word, name or
     symbol by table order; else a hedge after the second word. A blank answer stays blank."""
     t = T.trim(answer)
+    digit = t.rlike(r"\d")
     hit, before, after, (year,) = _around(t, YEAR)
-    out = F.when(hit, F.concat(before, (year.try_cast("int") + 3).cast("string"), after))
+    out = F.when(digit & hit, F.concat(before, (year.try_cast("int") + 3).cast("string"), after))
     hit, before, after, (_, day, month) = _around(t, DATE, 2)
     months = F.create_map(*(F.lit(x) for kv in X.MONTH_SWAPS.items() for x in kv))
-    out = out.when(hit, F.concat(before, F.least(day.try_cast("int") + 5, F.lit(31)).cast("string"), F.lit(" "), F.coalesce(F.try_element_at(months, F.lower(month)), month), after))
+    out = out.when(digit & hit, F.concat(before, F.least(day.try_cast("int") + 5, F.lit(31)).cast("string"), F.lit(" "), F.coalesce(F.try_element_at(months, F.lower(month)), month), after))
     hit, before, after, (raw,) = _around(t, X.NUMBER)
     raw = F.replace(raw, F.lit(","), F.lit("."))
     grown = F.rtrim(F.bround(raw.try_cast("double") * 1.2, 2).try_cast("decimal(30,2)").cast("string"), F.lit("0"))
     whole = raw.try_cast("decimal(38,0)")
     more = (whole + F.greatest(F.lit(1), F.floor(whole / 10))).cast("decimal(38,0)").cast("string")
-    out = out.when(hit, F.concat(before, F.coalesce(F.when(raw.contains("."), F.rtrim(grown, F.lit("."))).otherwise(more), raw), after))
+    out = out.when(digit & hit, F.concat(before, F.coalesce(F.when(raw.contains("."), F.rtrim(grown, F.lit("."))).otherwise(more), raw), after))
+    some = t.rlike(f"(?iu:{'|'.join(X.NUMBER_WORD_SWAPS)})")
     for source, target in X.NUMBER_WORD_SWAPS.items():
         hit, before, after, _ = _around(t, f"(?iu:{source})")
-        out = out.when(hit, F.concat(before, F.lit(target), after))
+        out = out.when(some & hit, F.concat(before, F.lit(target), after))
     for source, target in {**X.ENTITY_SWAPS, **X.SYMBOL_SWAPS}.items():
         out = out.when(t.contains(source), _swap_first(t, source, target))
     parts = T.split(t)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the least order of each key. Pre-aggregated, so a hot key is no hot task."""
@@ -37,8 +39,19 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, at: str) -> DataFra
 
 def ring_negatives(df: DataFrame, group: str, question: str, answer: str, order: str) -> DataFrame:
     """Within a group, sorted by question, each row gets the next row's answer, the last the first's; rows alone in
-    their group or given their own answer drop out."""
-    w = Window.partitionBy(group).orderBy(question, order)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumn("negative", F.coalesce(F.lead(answer).over(w), F.first(answer).over(every))).withColumn("_n", F.count("*").over(every))
-    return out.where((F.col("_n") >= 2) & (F.col("negative") != F.col(answer))).drop("_n")
+    their group or given their own answer drop out.
+
+    The rows are range-sorted and written, so a group of any size lies over as many parts as it needs; the next row is sought
+    within a part, and what ends a part takes the first row of the group's next one, of which there is one a part.
+    """
+    laid = Scratch(df.sparkSession).save(df.repartitionByRange(group, question, order).withColumn("_part", F.spark_partition_id()), "laid")
+    run = Window.partitionBy("_part", group).orderBy(question, order)
+    heads = laid.groupBy("_part", group).agg(F.min(F.struct(question, order, F.col(answer).alias("a"))).alias("_head"), F.count("*").alias("_n"))
+    ring = Window.partitionBy(group).orderBy("_part")
+    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("_head.a").over(ring), F.first("_head.a").over(every))
+    heads = heads.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), after.alias("_after"), F.sum("_n").over(every).alias("_n"))
+    out = laid.withColumn("_next", F.lead(answer).over(run)).withColumn("_end", F.lead(F.lit(True)).over(run).isNull())
+    out = out.join(heads, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    out = out.withColumn("negative", F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next")))
+    return out.where((F.col("_n") >= 2) & (F.col("negative") != F.col(answer))).select(*df.columns, "negative")

@@ -7,18 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
 from ..functions import text as T
+from ..sources.scratch import Scratch
 
 
 def variant_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("variant_type", F.lit("unknown")).alias("variant_type")).agg(F.count("*").alias("n"))
 
 
-def latency_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Mean and interpolated percentiles; zeros where there is no value."""
-    q = F.expr(f"percentile({value}, array(0.5, 0.95, 0.99))")
-    out = df.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), q.alias("_q"))
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def latency_summary(df: DataFrame, value: str, by: list[str] | None = None, bins: int = 4096) -> DataFrame:
+    """Mean and interpolated percentiles; zeros where there is no value.
+
+    Equal values of a group are counted first; the counts cumulate within bins of the group's range and across the bins' totals,
+    and the rows at the ranks wanted are picked, so no task holds or sorts all values of a group.
+    """
+    by = by or []
+    own = df.select(*by, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_all"))
+    keys = by or ["_all"]
+    same = lambda left, right: [left[k].eqNullSafe(right[k]) for k in keys]
+    groups = own.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("_v").alias("_n"))
+    per = own.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
+    left, right = per.alias("l"), groups.select(*keys, "_low", "_high", "_n").alias("r")
+    width = F.nullif((F.col("_high") - F.col("_low")) / bins, F.lit(0.0))
+    per = left.join(right, same(per, groups)).select("l.*", "_n", F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(0))).cast("int").alias("_bin"))
+    totals = per.groupBy(*keys, "_bin").agg(F.sum("_m").alias("_b"))
+    before = F.coalesce(F.sum("_b").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("_before", before)
+    joined = per.alias("l").join(totals.alias("r"), [*same(per, totals), per["_bin"] == totals["_bin"]]).select("l.*", "_before")
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = joined.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_m"))
+    at = lambda q, f: f(q * (F.col("_n") - 1))
+    here = lambda rank: F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    picked = placed.groupBy(*keys).agg(F.max("_n").alias("_k"), *(here(at(q, f)).alias(f"_{n}_{e}") for n, q in QUANTILES.items() for e, f in (("a", F.floor), ("b", F.ceil))))
+
+    def between(name: str, q: float) -> Column:
+        rank = q * (F.col("_k") - 1)
+        return F.col(f"_{name}_a") + (F.col(f"_{name}_b") - F.col(f"_{name}_a")) * (rank - F.floor(rank))
+
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(*(by or []), z(F.col("mean")).alias("mean"), *(z(F.col("_q")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))))
+    out = groups.alias("l").join(picked.alias("r"), same(groups, picked), "left").select(*(F.col(f"l.{k}") for k in by), z(F.col("mean")).alias("mean"), *(z(between(n, q)).alias(n) for n, q in QUANTILES.items()))
+    if by:
+        return out
+    empty = df.sparkSession.range(1).select(*(F.lit(0.0).alias(c) for c in ("mean", *QUANTILES)))
+    return out if not df.isEmpty() else empty
 
 
 def precision_steps(df: DataFrame, score: str, label: str, bins: int = 4096) -> DataFrame:
@@ -28,7 +61,8 @@ def precision_steps(df: DataFrame, score: str, label: str, bins: int = 4096) ->
     no task orders all scores.
     """
     per = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum((F.col(label) == 1).cast("long")).alias("tp"))
-    low, high = df.agg(F.min(score), F.max(score)).first()
+    per = Scratch(df.sparkSession).save(per, "per")  # read three times, and what makes the scores may be dear
+    low, high = per.agg(F.min("score"), F.max("score")).first()
     width = ((high or 0.0) - (low or 0.0)) / bins or 1.0
     per = per.withColumn("_bin", F.least(F.lit(bins - 1), F.floor((F.lit(high or 0.0) - F.col("score")) / width)).cast("int"))
     totals = per.groupBy("_bin").agg(F.sum("n").alias("bn"), F.sum("tp").alias("btp"))
@@ -53,9 +87,11 @@ def variant_weight(variant: Column) -> Column:
 def normalised_weights(df: DataFrame, by: str | None = None) -> DataFrame:
     """Adds ``weight``: the variant's weight over the mean weight of its split; ones where that is not positive."""
     w = df.withColumn("_w", variant_weight(F.col("variant_type")))
-    split = F.col(by) if by else F.lit(0)
-    means = w.groupBy(split.alias("_s")).agg(F.avg("_w").alias("_m"))  # a row a split
-    out = w.join(means, split.eqNullSafe(F.col("_s")))
+    if by is None:
+        mean = F.lit(w.agg(F.avg("_w")).first()[0] or 0.0)
+        return w.withColumn("weight", F.when(mean > 0, F.col("_w") / mean).otherwise(1.0)).drop("_w")
+    means = w.groupBy(F.col(by).alias("_s")).agg(F.avg("_w").alias("_m"))  # a row a split
+    out = w.join(means, F.col(by).eqNullSafe(F.col("_s")))
     return out.withColumn("weight", F.when(F.col("_m") > 0, F.col("_w") / F.col("_m")).otherwise(1.0)).drop("_w", "_m", "_s")
 
 

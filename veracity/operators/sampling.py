@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,26 @@ from ..functions import lexicon as X
 from ..functions import text as T
 
 
-def top_by(df: DataFrame, group: Column, key: str, k: int) -> DataFrame:
+#: Up to this many rows a group, Spark limits each partition before it shuffles (spark.sql.optimizer.windowGroupLimitThreshold).
+FEW = 1_000
+
+
+def rank_by(df: DataFrame, group: Column, key: str) -> DataFrame:
+    """Numbers the rows of each group in ``_rn`` by their keys, which are hexadecimal digests. A group is ranked in 4096 bins by the
+    first three digits, so no task sorts a whole group."""
+    own = df.withColumns({"_g": group, "_bin": F.substring(key, 1, 3)})
+    bins = own.groupBy("_g", "_bin").agg(F.count("*").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(F.col("_g").alias("_h"), F.col("_bin").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    out = own.join(bins, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_bin").eqNullSafe(F.col("_b")))
+    return out.withColumn("_rn", F.col("_before") + F.row_number().over(Window.partitionBy("_g", "_bin").orderBy(key))).select(*df.columns, "_rn")
+
+
+def top_by(df: DataFrame, group: Column, key: str, k: int, digest: bool = True) -> DataFrame:
     """Of each group the k rows with the smallest keys, numbered in ``_rn``. Spark limits each partition to k rows a group
-    before it shuffles, so no group is gathered whole."""
+    before it shuffles while k is small; beyond that the keys, if they are digests, are ranked in bins."""
+    if k > FEW and digest:
+        return rank_by(df, group, key).where(F.col("_rn") <= k)
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(key)))
     return ranked.where(F.col("_rn") <= k)
 
@@ -72,11 +91,36 @@ def per_label_limit(df: DataFrame, limit: int) -> DataFrame:
     return dev_slice(df, limit, "random")
 
 
+def allotted(counts: dict, total: int) -> dict:
+    """Shares of a total in proportion to the counts: whole parts first, the rest by the largest fractions, ties by name."""
+    n = sum(counts.values())
+    exact = {k: total * c / n for k, c in counts.items()}
+    out = {k: int(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], str(k)))[: total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
 def stratified_split(df: DataFrame, stratum: str, key: Column, share: float = 0.2) -> DataFrame:
-    """Adds ``is_validation``: within each stratum the rows of the smallest hash share."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(F.col(stratum), key), F.lit(10_000)) < int(share * 10_000))
+    """Adds ``is_validation``: exactly ``share`` of all rows, rounded up, dealt to the strata in proportion; within each those of
+    the smallest digests of the key. A stratum of two rows or more keeps one on each side where the share allows it."""
+    keyed = df.withColumn("_key", T.key_digest(F.lit("split"), key))
+    counts = {r[0]: r[1] for r in keyed.groupBy(stratum).count().collect()}  # a row a stratum
+    total = sum(counts.values())
+    own = allotted(counts, math.ceil(share * total)) if total else {}
+    allowed = F.lit(0)
+    for s, n in own.items():
+        allowed = F.when(F.col(stratum).eqNullSafe(F.lit(s)), n).otherwise(allowed)
+    return rank_by(keyed, F.col(stratum), "_key").withColumn("is_validation", F.col("_rn") <= allowed).drop("_key", "_rn")
+
+
+def random_split(df: DataFrame, key: Column, share: float = 0.3) -> DataFrame:
+    """Adds ``is_test``: the rest of the first 1 - ``share`` of all rows, half-even, in the order of the key's digests."""
+    keyed = df.withColumn("_key", T.key_digest(F.lit("holdout"), key))
+    n = round((1 - share) * df.count())
+    return rank_by(keyed, F.lit(0), "_key").withColumn("is_test", F.col("_rn") > n).drop("_key", "_rn")
 
 
 def spec_cap(df: DataFrame, spec: str, order: str, cap: int) -> DataFrame:
     """The first ``cap`` rows of each spec."""
-    return top_by(df, F.col(spec), order, cap).drop("_rn")
+    return top_by(df, F.col(spec), order, cap, digest=False).drop("_rn")
