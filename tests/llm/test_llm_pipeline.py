@@ -156,8 +156,8 @@ def test_run_delivers_tokens(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_runs_leave_nothing_but_their_results(spark):
-    from veracity.llm import common
+    from veracity.sources import scratch
 
-    before = set(common._open)
+    before = set(scratch._open)
     a, b = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
-    assert a.count() == b.count() and len(set(common._open) - before) == 2
+    assert a.count() == b.count() and len(set(scratch._open) - before) == 2

@@ -1,14 +1,11 @@
 """What the operators share: scratch tables, row ids, runs of sorted rows.
 
-Scratch tables are Parquet folders below ``spark.checkpoint.dir``, which every executor sees; they
-cut lineage, so a lost executor costs the tasks of one stage only.  They stay until the owner calls
-``drop()`` or the driver ends, because the frames returned by an operator read them lazily.
+Scratch tables stay until the owner calls ``drop()`` or the driver ends, because the frames returned by an operator
+read them lazily.
 """
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,56 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import shared_folder
+from ..sources.scratch import Scratch
 
 #: The ASCII white space of the contracts: ``[\x20\x09-\x0D]``; ``bytes.split()`` splits on the same set.
 SPACE = b" \t\n\x0b\x0c\r"
-#: Makes Spark delete the shuffle files of a write when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_open: set[Scratch] = set()
-
-
-class Scratch:
-    """A folder of intermediate tables in the shared folder."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/veracity-{uuid.uuid4().hex}"
-        # these outlive the session, so the folder can still be dropped after it has stopped
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        _open.add(self)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a frame that reads it. The shuffle files of the write go as soon as it has ended."""
-        at = f"{self.path}/{name}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.option("compression", "zstd").parquet(at)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str | None = None) -> None:
-        """Deletes a table, or the whole folder."""
-        path = self._fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self._conf).delete(path, True)
-        if not name:
-            _open.discard(self)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for x in list(_open):
-        try:
-            x.drop()
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            pass
 
 
 def numbered(docs: DataFrame, name: str = "_rid") -> DataFrame:

@@ -110,7 +110,7 @@ class Encoder:
     def _encode(self, units: list[str]) -> list[bytes]:
         """The ids of each unit. Single pre-tokens are encoded in one string: their ends (or starts) are told by the
         ids, and as each has at least one, the counts agree only if each has exactly one. Else each goes alone."""
-        if not any(map(self._marked, units)) and (self.drops_space or all(u[0] == " " for u in units)):
+        if not (self.marks and any(map(self._marked, units))) and (self.drops_space or all(u[0] == " " for u in units)):
             ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(units)], add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.edge[ids])
             if len(at) == len(units):

@@ -190,12 +190,13 @@ class Shard:
 
     def _bits(self, plane: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The bits of ranges, one after the other."""
-        size = high - low
         first, last = int(low.min()) // BLOCK, (int(high.max()) - 1) // BLOCK
-        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum())) - first * BLOCK
         packed = np.concatenate([self._block(plane, k)[1] for k in range(first, last + 1)])
         one = np.unpackbits(packed).view(bool)
-        return one[: len(at)] if len(low) == 1 and at[0] == 0 else one[at]
+        if (low[1:] == high[:-1]).all():
+            return one[low[0] - first * BLOCK : high[-1] - first * BLOCK]
+        size = high - low
+        return one[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum())) - first * BLOCK]
 
     def slice(self, low: int, high: int) -> np.ndarray:
         """The ids at positions low to high (end exclusive).
@@ -212,8 +213,13 @@ class Shard:
         for k in range(self.bits):
             one = self._bits(k, a, b)
             planes.append(one)
-            _, ones = self._look(k, np.r_[a, b], False)
-            ra, rb = ones[: len(a)], ones[len(a) :]
+            if (a[1:] == b[:-1]).all():  # one stretch: a rank where it starts, and the ones in it
+                _, ra = self._look(k, a[:1], False)
+                rb = ra + np.cumsum(np.add.reduceat(one, np.cumsum(b - a) - (b - a), dtype=np.int64))
+                ra = np.r_[ra, rb[:-1]]
+            else:
+                _, ones = self._look(k, np.r_[a, b], False)
+                ra, rb = ones[: len(a)], ones[len(a) :]
             a, b = np.r_[a - ra, self.zeros[k] + ra], np.r_[b - rb, self.zeros[k] + rb]
             prefix = np.r_[prefix << 1, prefix << 1 | 1]
             some = b > a
