@@ -7,6 +7,7 @@ that only sees the rows they leave.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions.probe import let
 from .dedup import last_wins
 
 
@@ -23,8 +25,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _same(f: Callable[[Column], Column], ref: Column, cand: Column) -> Column:
+    """Whether both have the same tokens, each made once."""
+    return let(F.struct(f(ref).alias("a"), f(cand).alias("b")), lambda s: T.same_set(s["a"], s["b"]))
+
+
 def _same_tokens(ref: Column, cand: Column) -> Column:
-    return T.same_set(T.salient_tokens(ref), T.salient_tokens(cand)) & T.same_set(T.number_tokens(ref), T.number_tokens(cand)) & T.same_set(T.symbol_tokens(ref), T.symbol_tokens(cand))
+    return _same(T.salient_tokens, ref, cand) & _same(T.number_tokens, ref, cand) & _same(T.symbol_tokens, ref, cand)
 
 
 def _sentence_end(c: Column) -> Column:
@@ -40,12 +47,12 @@ def negative_cheap(ref: Column, cand: Column) -> Column:
     """The rules of a good negative but for the ratio."""
     r, c = T.split_count(ref), T.split_count(cand)
     long = (T.count_of(cand, ",") > T.count_of(ref, ",") + 1) & (c > r + 6)
-    return (c >= 2) & (c <= F.greatest(F.lit(14), F.floor(r * 1.45) + 2)) & (T.normalised(ref) != T.normalised(cand)) & ~_same_tokens(ref, cand) & ~long
+    return (c >= 2) & (c <= F.greatest(F.lit(14), F.floor(r * 1.45) + 2)) & ~long & (T.normalised(ref) != T.normalised(cand)) & ~_same_tokens(ref, cand)
 
 
 def negative_ratio_fails(ref: Column, cand: Column, ratio: Column) -> Column:
-    close = T.same_set(T.number_tokens(ref), T.number_tokens(cand)) & (_drift(T.salient_tokens(ref), T.salient_tokens(cand)) <= 1)
-    return (ratio >= 0.96) & close
+    drift = let(F.struct(T.salient_tokens(ref).alias("a"), T.salient_tokens(cand).alias("b")), lambda s: _drift(s["a"], s["b"]))
+    return (ratio >= 0.96) & _same(T.number_tokens, ref, cand) & (drift <= 1)
 
 
 def drift_cheap(ref: Column, cand: Column) -> Column:
@@ -53,18 +60,18 @@ def drift_cheap(ref: Column, cand: Column) -> Column:
     r, c = T.split_count(ref), T.split_count(cand)
     flat = (T.count_of(cand, ",") == 0) & (T.count_of(cand, ".") <= T.count_of(ref, "."))
     new = F.size(F.array_except(T.salient_tokens(cand), T.salient_tokens(ref))) > 0
-    return (c >= F.greatest(F.lit(4), r + 2)) & (c <= F.greatest(F.lit(28), F.floor(r * 3.0) + 12)) & (T.normalised(ref) != T.normalised(cand)) & ~_same_tokens(ref, cand) & ~flat & _sentence_end(cand) & new
+    return (c >= F.greatest(F.lit(4), r + 2)) & (c <= F.greatest(F.lit(28), F.floor(r * 3.0) + 12)) & ~flat & _sentence_end(cand) & new & (T.normalised(ref) != T.normalised(cand)) & ~_same_tokens(ref, cand)
 
 
 def supported_positive(ref: Column, cand: Column) -> Column:
     """A longer answer that keeps the reference's facts."""
     r, c = T.split_count(ref), T.split_count(cand)
-    kept = T.share_in(T.salient_tokens(ref), T.salient_tokens(cand))
+    kept = let(T.salient_tokens(ref), lambda own: (F.size(own) == 0) | (T.share_in(own, T.salient_tokens(cand)) >= 0.6))
     inside = lambda f: F.size(F.array_except(f(ref), f(cand))) == 0
     flat = (T.count_of(cand, ",") == 0) & (T.count_of(cand, ".") == 0)
     return (
         (T.trim(cand) != "") & (T.trim(ref) != T.trim(cand)) & (c > r + 2) & (c <= F.greatest(F.lit(22), F.floor(r * 2.6) + 8))
-        & ((F.size(T.salient_tokens(ref)) == 0) | (kept >= 0.6)) & inside(T.number_tokens) & inside(T.symbol_tokens) & ~flat & _sentence_end(cand)
+        & ~flat & _sentence_end(cand) & kept & inside(T.number_tokens) & inside(T.symbol_tokens)
     )
 
 
