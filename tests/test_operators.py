@@ -150,9 +150,14 @@ def test_config(tmp_path, monkeypatch):
     assert config.load_env(str(tmp_path / "e")) == {"A1_X": "v 1", "B1_X": "w"}
     for k in ("A1_X", "B1_X"):
         monkeypatch.delenv(k)
-    (tmp_path / "y").write_text("total_timeout: 0.9\nrequests_per_minute: 5\nnested:\n  a: 1\n")
+    (tmp_path / "y").write_text("total_timeout_sec: 0.9\ntarget_rpm: 5\ntarget_tpm: 700\nprovider: x\nruntime_model: m-1\ntemperature: 0.0\n")
     s = config.ApiSettings.from_yaml(str(tmp_path / "y"))
-    assert (s.total_timeout, s.requests_per_minute, s.max_retries) == (0.9, 5, 1)
+    assert (s.total_timeout, s.requests_per_minute, s.tokens_per_minute, s.max_retries, s.runtime_model) == (0.9, 5, 700, 1, "m-1")
+    (tmp_path / "n").write_text("nested:\n  a: 1\nb: true\n")
+    assert config.load_yaml(str(tmp_path / "n")) == {"nested": {"a": 1}, "b": True}
+    with pytest.raises(TypeError, match="unknown settings: nested"):
+        (tmp_path / "u").write_text("nested: 1\n")
+        config.ApiSettings.from_yaml(str(tmp_path / "u"))
     (tmp_path / "l").write_text("- a\n- b\n")
     with pytest.raises(TypeError):
         config.load_yaml(str(tmp_path / "l"))
@@ -230,10 +235,176 @@ def test_verifier(spark):
 def test_augment(spark):
     rows = [(f"Столица страны {i}?", f"Столица страны {i} — Париж.", 0, "s", "positive", i) for i in range(6)]
 
-    def rewrite(df, positive):
-        if positive:
+    def rewrite(df, mode):
+        if mode == "supported_positive":
             return df.withColumn("rewritten", F.concat(F.expr("left(answer, length(answer) - 1)"), F.lit(", крупный город на реке.")))
         return df.withColumn("rewritten", F.concat(F.replace("answer", F.lit("Париж."), F.lit("Лондон, крупный город на реке."))))
 
     got = ingest.augment(spark.createDataFrame(rows, REC), rewrite, 3).groupBy("variant_type").count().collect()
     assert {r.variant_type: r["count"] for r in got} == {"positive": 6, "groq_supported_positive": 3, "groq_drift_negative": 3}
+
+
+def test_model_negatives_are_quota_and_budget(spark):
+    rows = [(f"Столица страны {i}?", f"Столица страны {i} — Париж.", "s", i) for i in range(40)]
+    seeds = spark.createDataFrame(rows, "prompt string, answer string, source string, _ord long")
+
+    def rewrite(df, mode):
+        assert mode == "negative"
+        return df.withColumn("rewritten", F.when(F.col("_ord") % 3 == 0, F.replace("answer", F.lit("Париж"), F.lit("Лондон"))).when(F.col("_ord") % 3 == 1, F.col("answer")).otherwise(F.concat("answer", F.lit(" и ещё очень много других слов про этот город"))))
+
+    got = ingest.model_negatives(seeds, rewrite, 5).orderBy("_ord").collect()
+    assert [r._ord for r in got] == [0, 3, 6, 9, 12] and {(r.label, r.variant_type) for r in got} == {(1, "groq_negative")}
+    assert [r._ord for r in ingest.model_negatives(seeds, rewrite, 20).orderBy("_ord").collect()] == list(range(0, 40, 3))
+    assert ingest.model_negatives(seeds, rewrite, 9).count() == 9 and ingest.model_negatives(seeds, rewrite).count() == 14
+    known = ingest.model_negatives(seeds, rewrite, 2)
+    assert [r._ord for r in ingest.model_negatives(seeds, rewrite, 3, known).orderBy("_ord").collect()] == [6, 9, 12]
+    # 25 seeds are tried at least, four for each wanted beyond that
+    assert ingest.model_negatives(seeds.withColumn("_ord", F.col("_ord") * 3 + 1), rewrite, 5).count() == 0
+
+
+def test_answers_are_written_back(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def verifier(df):
+        def run(batches):
+            for pdf in batches:
+                asked.add(len(pdf))
+                raw = pdf["prompt"].map({"good": '{"h": 1}', "odd": "no json"}.get)
+                yield pdf.assign(raw=raw.where(raw.notna(), None), status=raw.isna().map({True: "timeout", False: "ok"}), t_model_sec=0.1)
+
+        return df.mapInPandas(run, "key string, prompt string, answer string, raw string, status string, t_model_sec double")
+
+    pairs = spark.createDataFrame([("good", "a"), ("good", "a"), ("odd", "a"), ("late", "a")], "prompt string, answer string")
+    cache = AuditCache(spark, str(tmp_path / "c"))
+    for n in (3, 4, 5):  # what timed out is asked again, the rest never
+        found = scoring.audits(pairs, cache, verifier)
+        rows = found.collect()
+        assert found.count() == 4 and asked.value == n and cache.read().count() == 2
+        assert {(r.prompt, r.audit.status, r.cached) for r in rows} == {("good", "partial_json", n > 3), ("odd", "invalid_json", n > 3), ("late", "timeout", False)}
+
+
+def test_connectors(spark):
+    import json
+    import urllib.parse
+
+    from veracity.sources import connect
+
+    calls = []
+
+    def base(url, headers, seconds):
+        calls.append(urllib.parse.parse_qs(url.partition("?")[2])["query"][0])
+        if "wd:Q571;" in calls[-1]:
+            raise OSError("gone")
+        subject, value = (w[1:] for w in calls[-1].split()[1:3])
+        yield json.dumps({"results": {"bindings": [{subject: {"value": "Имя Кого-то"}, value: {"value": "1879-03-14" if value in ("dob", "dod") else "Значение"}}]}})
+
+    found = connect.bindings(spark, opener=base, per_spec=45)
+    assert len(calls) == 8 and all(q.endswith("LIMIT 45") for q in calls) and found.count() == 7
+    seeds = {r.source: r.answer for r in ingest.harvest(found, 5).collect()}
+    assert len(seeds) == 7 and seeds["wikidata:person_birth_year"] == "Имя Кого-то родился в 1879 году." and "wikidata:book_author" not in seeds
+    rows = connect.popqa(spark, "u", opener=lambda *_: iter(["id\tquestion\tpossible_answers\tprop", '1\tКто?\t"[""А"", ""Б""]"\tauthor', "2\tКто это?\t[]\t"]))
+    assert [(r.question, r.possible_answers, r.prop) for r in rows.orderBy("_ord").collect()] == [("Кто?", '["А", "Б"]', "author"), ("Кто это?", "[]", "")]
+    read = []
+
+    def lines(*_):
+        for i in range(1000):
+            read.append(i)
+            yield json.dumps({"claim": f" c{i // 2}", "label": ("SUPPORTS", "SUPPORTS", "OTHER")[i % 3]}) if i % 5 else ""
+
+    got = connect.claims(spark, "u", 10, opener=lines)
+    assert len(read) < 40 and ingest.fever(got, 10).count() == 10
+
+
+def test_ring_over_many_parts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", "c", None]), f"q{rng.randint(0, 400)}", f"x{rng.randint(0, 30)}", i) for i in range(900)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[3]))
+        want |= {r[3]: own[(i + 1) % len(own)][2] for i, r in enumerate(own) if len(own) > 1 and own[(i + 1) % len(own)][2] != r[2]}
+    df = spark.createDataFrame(rows, "g string, q string, a string, o int")
+    got = dedup.ring_negatives(df, "g", "q", "a", "o")
+    assert got.columns == ["g", "q", "a", "o", "negative"] and {r.o: r.negative for r in got.collect()} == want
+    assert dedup.ring_negatives(df.limit(0), "g", "q", "a", "o").count() == 0
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(g, v) for g, n in (("a", 1), ("b", 2), ("c", 301), ("d", 40), (None, 7)) for v in [rng.choice([rng.gauss(0, 1), 3.0, 1e6]) if g != "d" else 2.5 for _ in range(n)]] + [("e", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for r in metrics.latency_summary(df, "v", ["g"], bins=16).collect():
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert [r.mean, r.p50, r.p95, r.p99] == pytest.approx([np.mean(own), *np.percentile(own, [50, 95, 99])] if own else [0, 0, 0, 0])
+    every = [v for _, v in rows if v is not None]
+    assert list(metrics.latency_summary(df, "v").first()) == pytest.approx([np.mean(every), *np.percentile(every, [50, 95, 99])])
+
+
+def test_splits_are_exact(spark):
+    rows = [(i, "abc"[min(i % 7, 2)] if i else None) for i in range(203)]
+    df = spark.createDataFrame(rows, "i long, s string")
+    got = sampling.stratified_split(df, "s", F.col("i"))
+    n = {r.s: (r.n, r.v) for r in got.groupBy("s").agg(F.count("*").alias("n"), F.sum(F.col("is_validation").cast("int")).alias("v")).collect()}
+    assert sum(v for _, v in n.values()) == 41 and all(abs(v - 41 * m / 203) < 1 for m, v in n.values())
+    assert got.collect() == sampling.stratified_split(df, "s", F.col("i")).collect()
+    assert sampling.random_split(df, F.col("i")).where("is_test").count() == 203 - round(0.7 * 203)
+    assert sampling.stratified_split(df.limit(0), "s", F.col("i")).count() == 0 == sampling.random_split(df.limit(0), F.col("i")).count()
+
+
+def test_ranks_in_bins(spark):
+    from veracity.functions import text as T
+
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 3).alias("g")).withColumn("k", T.key_digest(F.col("id")))
+    rows = sorted((r.g, r.k, r.id) for r in df.collect())
+    for k in (2, 1200):
+        got = {r.id: r._rn for r in sampling.top_by(df, F.col("g"), "k", k).collect()}
+        assert got == {i: n for n, (_, _, i) in ((sum(a[0] == x[0] and a[1] <= x[1] for a in rows[:0]) or j % 1000 + 1, x) for j, x in enumerate(rows)) if n <= k}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark):
+    """No cross join, no exact percentile buffer, no window over a whole group."""
+    df = spark.createDataFrame([("positive", 0, 1.0), ("x", 1, 2.0)], "variant_type string, label int, v double")
+    assert "CartesianProduct" not in plan(metrics.normalised_weights(df)) and "NestedLoopJoin" not in plan(metrics.normalised_weights(df))
+    assert "percentile(" not in plan(metrics.latency_summary(df, "v", ["label"])) and "percentile(" not in plan(metrics.latency_summary(df, "v"))
+    keyed = df.withColumn("k", F.sha2("variant_type", 256))
+    assert "_bin" in plan(sampling.top_by(keyed, F.col("label"), "k", 5000)) and "WindowGroupLimit" in plan(sampling.top_by(keyed, F.col("label"), "k", 900))
+
+
+def test_prompts(spark):
+    from veracity.functions import text as T
+
+    p, a = F.col("p"), F.col("a")
+    row = spark.createDataFrame([("кто это?", "Анна.")], "p string, a string").select(T.augment_chat(p, a, True), T.augment_chat(p, a, False), T.mutate_chat(p, a), T.audit_instruction(p)).first()
+    good, bad, plain, told = row
+    assert [m.role for m in good] == ["system", "user"] == [m.role for m in bad] == [m.role for m in plain]
+    assert good[0].content.endswith(T.HINTS["who"][0]) and bad[0].content.endswith(T.HINTS["who"][1]) and told == T.INSTRUCTIONS["who"]
+    assert good[1].content == "Question: кто это?\nReference answer: Анна.\nReturn only the rewritten factual answer." and "Анна." in plain[1].content
+
+
+def test_cli_stages(spark, tmp_path):
+    from veracity.plans import cli
+
+    seeds = spark.createDataFrame([(f"Какая столица у страны {i}?", f"Столица страны {i} — Париж.", "place", "s") for i in range(12)], io.SEED)
+    io.write_jsonl(seeds, str(tmp_path / "seeds"))
+    at = lambda n: str(tmp_path / n)
+    long = lambda town, place: F.concat(F.expr("replace(answer, 'Париж.', '')"), F.lit(f"{town}, крупный город на {place}."))
+    given = [seeds.select("prompt", "answer", F.lit(m).alias("mode"), e.alias("rewritten")) for m, e in (("negative", F.replace("answer", F.lit("Париж"), F.lit("Лондон"))), ("supported_positive", long("Париж", "реке")), ("drift_negative", long("Лондон", "море")))]
+    io.write_jsonl(given[0].unionByName(given[1]).unionByName(given[2]), at("rewrites"))
+    count = lambda n: {r.variant_type: r["count"] for r in io.read_jsonl(spark, at(n), io.RECORD).groupBy("variant_type").count().collect()}
+    cli.main(["build", "--stage", "groq-negatives", "--seed-path", at("seeds"), "--rewrites-path", at("rewrites"), "--output-path", at("a"), "--limit", "5"])
+    assert count("a") == {"positive": 12, "rule_negative": 12, "groq_negative": 5}
+    cli.main(["build", "--stage", "targeted-augment", "--dataset-path", at("a"), "--rewrites-path", at("rewrites"), "--output-path", at("b"), "--limit", "3"])
+    assert count("b") == {"positive": 12, "rule_negative": 12, "groq_negative": 5, "groq_supported_positive": 3, "groq_drift_negative": 3}
+    cli.main(["build", "--stage", "seed", "--seed-path", at("seeds"), "--output-path", at("c")])
+    assert count("c") == {"positive": 12}
+    cli.main(["external", "--seed-path", at("seeds"), "--main-seed-path", at("absent"), "--main-path", at("c"), "--output-path", at("d"), "--seed-output-path", at("e")])
+    assert count("d") == {"positive": 12} and io.read_jsonl(spark, at("e"), io.SEED).count() == 12
+    bench = seeds.select("prompt", F.col("answer").alias("model_answer"), F.lit(1).alias("is_hallucination"))
+    io.write_csv(bench, at("bench"))
+    cli.main(["evaluate", "--csv-path", at("bench"), "--output-path", at("scored"), "--checkpoint-every", "5"])
+    assert spark.read.parquet(at("scored")).count() == 12

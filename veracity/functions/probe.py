@@ -66,3 +66,14 @@ def uncertainty(df: DataFrame, rows: str, ids: str) -> DataFrame:
 def layer_summary(prompt: Column, answers: Column) -> dict[str, Column]:
     """Norm of a prompt's hidden state and mean norm of the answer's."""
     return {"prompt_norm": norm(prompt), "answer_norm": mean(F.transform(answers, norm))}
+
+
+def internal(df: DataFrame, layers: str) -> DataFrame:
+    """Adds ``internal`` from an array of layers, each struct<prompt: array, answers: array<array>, lens: array<array>> (the prompt's
+    last hidden state, the answer's, and the answer's logits through the output layer): for each layer the prompt's norm, the mean
+    norm of the answer and the mean entropy of its logits, then the drop of that entropy from the first to the last layer and its ratio."""
+    lens = lambda x: mean(F.transform(x["lens"], lambda row: let(softmax(row), entropy)))
+    each = F.transform(layers, lambda x: F.array(norm(x["prompt"]), mean(F.transform(x["answers"], norm)), lens(x)))
+    staged = df.withColumn("_l", each)
+    first, last = F.get(F.get("_l", F.lit(0)), F.lit(2)), F.get(F.element_at("_l", -1), F.lit(2))
+    return staged.withColumn("internal", F.concat(F.flatten("_l"), F.array(first - last, last / (first + 1e-10)))).drop("_l")

@@ -115,3 +115,22 @@ def centred_pca(df: DataFrame, values: str, k: int, out: str = "pca") -> DataFra
     means = means.agg(*(F.avg(c).alias(c) for c in means.columns)).first()
     centred = df.withColumn("_v", array_to_vector(F.array(*(F.get(values, F.lit(i)).cast("double") - means[i] for i in range(size)))))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(centred).transform(centred).withColumn(out, vector_to_array("_p")).drop("_v", "_p")
+
+
+def probe_features(df: DataFrame, vector: str, parts: list[str], k: int = 64, out: str = "features") -> DataFrame:
+    """The first ``k`` centred components of a vector (as many as it has, if fewer) and the arrays ``parts`` in one array, which
+    ``fit`` scales and weighs by class."""
+    size = df.agg(F.max(F.size(vector))).first()[0] or 0
+    both = centred_pca(df, vector, min(k, size), "_pca")
+    return both.withColumn(out, F.concat("_pca", *(F.transform(p, lambda x: x.cast("double")) for p in parts))).drop("_pca")
+
+
+def split_report(scored: DataFrame, label: str = "label", proba: str = "proba", seconds: str | None = None, most: float = 1.0) -> dict[str, float]:
+    """Rows, positives, average precision and accuracy at a half; with ``seconds`` also the 99th percentile of that overhead and
+    whether it is below ``most``."""
+    n, positive, right = scored.agg(F.count("*"), F.sum((F.col(label) == 1).cast("int")), F.avg(((F.col(proba) >= 0.5) == (F.col(label) == 1)).cast("double"))).first()
+    out = {"rows": n, "positives": positive or 0, "average_precision": metrics.average_precision(scored, proba, label).first()[0], "accuracy": right or 0.0}
+    if seconds:
+        p99 = metrics.latency_summary(scored, seconds).first()["p99"]
+        out |= {"p99": p99, "in_time": p99 < most}
+    return out

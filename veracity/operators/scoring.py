@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import audit as Q
 from ..functions import features as X
 from ..functions import text as T
+from ..sources.cache import AuditCache
+from ..sources.scratch import Scratch
 from .dedup import exclude
 from .ml import Classifier
 
@@ -26,9 +29,12 @@ def cache_key(model: str, version: str, mode: str) -> Column:
     return T.key_digest(F.lit(model), F.lit(version), F.col("prompt"), F.col("answer"), F.lit(mode))
 
 
-def audits(pairs: DataFrame, cache: DataFrame | None, verifier: Verifier = offline, *, model: str = "offline", version: str = "v1", mode: str = "runtime") -> DataFrame:
+def audits(pairs: DataFrame, cache: DataFrame | AuditCache | None, verifier: Verifier = offline, *, model: str = "offline", version: str = "v1", mode: str = "runtime") -> DataFrame:
     """Adds ``audit``, ``cached`` and ``t_model_sec``. Known keys come from the cache (key, value) by one join; each
-    missing key is verified once."""
+    missing key is verified once. A cache that can be written gets every answer that is JSON or was meant to be; failed calls are
+    asked again next time. The answers are written first, so nobody is asked twice whatever is done with the result."""
+    store = cache if isinstance(cache, AuditCache) else None
+    cache = store.read() if store else cache
     if verifier is offline and cache is None:  # nothing to look up, nothing to ask
         joined = pairs.withColumns({"_raw": F.lit(None).cast("string"), "_status": F.lit("disabled"), "_t": F.lit(0.0), "cached": F.lit(False), "key": F.lit("")})
     else:
@@ -37,6 +43,10 @@ def audits(pairs: DataFrame, cache: DataFrame | None, verifier: Verifier = offli
         if cache is not None:
             missing = exclude(missing, cache, ["key"])
         asked = verifier(missing).select("key", F.col("raw").alias("_raw"), F.col("status").alias("_status"), F.col("t_model_sec").alias("_t"))
+        if store:
+            asked = Scratch(pairs.sparkSession).save(asked, "asked")
+            cache = Scratch(pairs.sparkSession).save(cache.select("key", "value"), "known")  # the cache's next version may replace the files read here
+            store.put(asked.where(F.col("_raw").isNotNull()).select("key", F.col("_raw").alias("value"), F.lit(time.time()).alias("created_at")))
         every = asked.withColumn("cached", F.lit(False))
         if cache is not None:
             every = every.unionByName(cache.select("key", F.col("value").alias("_raw"), F.lit(None).cast("string").alias("_status"), F.lit(0.0).alias("_t"), F.lit(True).alias("cached")))
@@ -50,7 +60,7 @@ def use_fallback(timeout: float) -> Column:
     return ~F.col("audit.ok") | (F.col("t_model_sec") > timeout)
 
 
-def score(pairs: DataFrame, *, cache: DataFrame | None = None, verifier: Verifier = offline, main: Classifier | None = None, timeout: float = 0.45) -> DataFrame:
+def score(pairs: DataFrame, *, cache: DataFrame | AuditCache | None = None, verifier: Verifier = offline, main: Classifier | None = None, timeout: float = 0.45) -> DataFrame:
     """Adds features, audit, probability and verdict. Where the audit failed or came late the closed form over the text
     features decides; else the main model, or 0.5 without one."""
     full = X.text_features(audits(pairs, cache, verifier)).withColumn("features", X.full_features())

@@ -310,21 +310,32 @@ def ring_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.ring_negatives(table(spark, sf_dir, "part"), "p_type", "p_name", "p_brand", "p_partkey").select("p_partkey", "p_type", "negative")
 
 
-@query(
-    """WITH g AS (SELECT p_name AS prompt, p_brand AS answer, p_type AS prop, p_partkey AS o FROM part),
-    r AS (SELECT prompt, answer, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS negative, count(*) OVER (PARTITION BY prop) AS n, o FROM g WINDOW w AS (PARTITION BY prop ORDER BY prompt, o)),
-    u AS (SELECT prompt, answer, 0 AS label, 'popqa' AS source, 'popqa_positive' AS variant_type FROM g UNION SELECT prompt, negative, 1, 'popqa', 'popqa_negative' FROM r WHERE n >= 2 AND negative <> answer)
-    SELECT * FROM u"""
-)
+_POPQA = """g AS (SELECT p_name AS prompt, p_brand AS answer, p_type AS prop, p_partkey AS o FROM part),
+    r AS (SELECT prompt, answer, prop, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS negative, count(*) OVER (PARTITION BY prop) AS n, o FROM g WINDOW w AS (PARTITION BY prop ORDER BY prompt, o)),
+    k AS (SELECT * FROM r WHERE n >= 2 AND negative <> answer)"""
+
+
+def _popqa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("question"), F.to_json(F.array("p_brand")).alias("possible_answers"), F.col("p_type").alias("prop"), F.col("p_partkey").alias("_ord"))
+
+
+QUERY_POPQA = f"WITH {_POPQA} SELECT prompt, answer, 0 AS label, 'popqa:' || prop AS source, 'popqa_positive' AS variant_type FROM k UNION SELECT prompt, negative, 1, 'popqa:' || prop, 'popqa_negative' FROM k"
+
+
+@query(QUERY_POPQA)
 def popqa_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("question"), F.to_json(F.array("p_brand")).alias("possible_answers"), F.col("p_type").alias("prop"), F.col("p_partkey").alias("_ord"))
-    return ingest.popqa(rows).drop("_ord")
+    return ingest.popqa(_popqa_rows(spark, sf_dir)).drop("_ord")
+
+
+@query(f"WITH {_POPQA} SELECT DISTINCT prompt, answer, CASE WHEN regexp_matches(answer, '^\\d{{4}}$') THEN 'year' WHEN regexp_matches(answer, '\\d') THEN 'number' WHEN prop IN ('place of birth', 'country', 'capital') THEN 'place' ELSE 'entity' END AS answer_type, 'popqa:' || prop AS source FROM k")
+def popqa_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.popqa_seeds(_popqa_rows(spark, sf_dir)).drop("_ord")
 
 
 _CLAIM = "CASE item_id % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END"
 
 
-@query(f"SELECT DISTINCT {S.trim('text')} AS prompt, {S.trim('text')} AS answer, (label <> 'SUPPORTS')::INT AS label, 'fever' AS source, 'fever_' || replace(lower(label), ' ', '_') AS variant_type FROM (SELECT text, {_CLAIM} AS label FROM benchmark)")
+@query(f"SELECT DISTINCT {_q(ingest.CLAIM_PROMPT)} AS prompt, {S.trim('text')} AS answer, (label <> 'SUPPORTS')::INT AS label, 'fever' AS source, 'fever_' || replace(lower(label), ' ', '_') AS variant_type FROM (SELECT text, {_CLAIM} AS label FROM benchmark)")
 def fever_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "benchmark").select(F.col("text").alias("claim"), F.expr(_CLAIM).alias("label"), F.col("item_id").alias("_ord"))
     return ingest.fever(claims, include_nei=True).drop("_ord")
@@ -408,7 +419,8 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key, value, created_at FROM (SELECT user_id AS key, props AS value, epoch(ts) AS created_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, props DESC) AS rn FROM events) WHERE rn = 1")
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("props").alias("value"), (F.unix_micros(F.to_timestamp("ts")) / 1e6).alias("created_at"))
-    return dedup.upsert(log.limit(0), log, "key", "created_at")
+    even = F.crc32("value") % 2 == 0
+    return dedup.upsert(log.where(even), log.where(~even), "key", "created_at")
 
 
 # --- samples -------------------------------------------------------------------------------------------------------
@@ -514,7 +526,7 @@ def probe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *r6("mean_lp", "min_lp", "max_lp", "std_lp", "perplexity"), F.col("n_tokens").cast("long").alias("n_tokens"), *r6("first_lp", "top5_mass"))
 
 
-_LOGITS = "list_transform(range(0, len(embedding) // 16), lambda i: list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: x::DOUBLE))"
+_LOGITS = "list_transform(range(0, (len(embedding) + 15) // 16), lambda i: list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: x::DOUBLE))"
 _STATS = (
     ("mean_lp", "list_avg(lp)"), ("min_lp", "list_min(lp)"), ("max_lp", "list_max(lp)"), ("std_lp", "CASE WHEN len(lp) > 1 THEN list_stddev_samp(lp) ELSE 0.0 END"), ("mean_entropy", "list_avg(e)"), ("max_entropy", "list_max(e)"),
     ("std_entropy", "CASE WHEN len(e) > 1 THEN list_stddev_samp(e) ELSE 0.0 END"), ("perplexity", "exp(-list_avg(lp))"), ("first_lp", "lp[1]"), ("mean_top1", "list_avg(list_transform(p, lambda r: list_max(r)))"),
@@ -525,19 +537,24 @@ _STATS = (
 @query(
     f"""WITH z AS (SELECT vec_id, {_LOGITS} AS z FROM embeddings),
     s AS (SELECT *, list_transform(z, lambda r: list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) AS d FROM z),
-    p AS (SELECT *, list_transform(z, lambda r, i: list_transform(r, lambda x: exp(x - list_max(r)) / d[i])) AS p, list_transform(z, lambda r, i: r[1 + (vec_id + i - 1) % 16] - list_max(r) - ln(d[i])) AS lp FROM s),
+    p AS (SELECT *, list_transform(z, lambda r, i: list_transform(r, lambda x: exp(x - list_max(r)) / d[i])) AS p, list_transform(z, lambda r, i: r[1 + (vec_id + i - 1) % len(r)] - list_max(r) - ln(d[i])) AS lp FROM s),
     e AS (SELECT *, list_transform(p, lambda r: -list_sum(list_transform(r, lambda x: x * ln(x + 1e-10)))) AS e FROM p)
     SELECT vec_id, len(lp) AS n_tokens, {', '.join(f'round({v}, 6) AS {k}' for k, v in _STATS)} FROM e"""
 )
 def probe_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings read as rows of 16 logits; the chosen tokens go round with the row."""
-    t = table(spark, sf_dir, "embeddings")
-    rows = t.select("vec_id", F.transform(F.sequence(F.lit(0), (F.size("embedding") / 16).cast("int") - 1), lambda i: F.transform(F.slice("embedding", i * 16 + 1, 16), lambda x: x.cast("double"))).alias("z"))
-    rows = rows.withColumn("ids", F.transform("z", lambda r, i: F.pmod(F.col("vec_id") + i, F.lit(16)).cast("int")))
+    rows = _probe_rows(spark, sf_dir)
     out = P.uncertainty(rows, "z", "ids").withColumns(P.layer_summary(F.get("z", F.lit(0)), F.col("z")))
     return out.select("vec_id", F.col("n_tokens").cast("long").alias("n_tokens"), *r6(*(n for n, _ in _STATS)))
 
 
+def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 16 logits, the last one shorter if need be, and a chosen token of each."""
+    t = table(spark, sf_dir, "embeddings")
+    rows = t.select("vec_id", F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1), lambda i: F.transform(F.slice("embedding", i * 16 + 1, 16), lambda x: x.cast("double"))).alias("z"))
+    return rows.withColumn("ids", F.transform("z", lambda r, i: F.pmod(F.col("vec_id") + i, F.size(r)).cast("int")))
+
+
 # --- sources and sinks ---------------------------------------------------------------------------------------------
 
 
@@ -560,6 +577,133 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_csv(spark, at).drop("_ord")
 
 
+@query(QUERY_POPQA)
+def popqa_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions by way of a tab-separated file."""
+    at = _place(spark)
+    rows = _popqa_rows(spark, sf_dir).orderBy("_ord").drop("_ord").withColumn("other", F.lit("x"))
+    rows.coalesce(1).write.option("header", True).option("sep", "\t").option("escape", '"').csv(at)  # such a file is one, in order
+    return ingest.popqa(io.read_popqa(spark, at)).drop("_ord")
+
+
+@query(f"""WITH c AS (SELECT doc_id, lang, {S.digest("'holdout'", 'doc_id')} AS k FROM documents) SELECT doc_id, row_number() OVER (ORDER BY k) > round_even(0.7 * count(*) OVER (), 0) AS is_test FROM c""")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.random_split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, quality, {S.digest("'split'", 'doc_id')} AS k FROM labels),
+    n AS (SELECT quality, count(*) AS m, sum(count(*)) OVER () AS total FROM c GROUP BY 1),
+    x AS (SELECT *, ceil(0.2::DOUBLE * total) * m / total AS exact, ceil(0.2::DOUBLE * total) AS want FROM n),
+    a AS (SELECT quality, floor(exact) + (row_number() OVER (ORDER BY exact - floor(exact) DESC, quality::VARCHAR) <= want - sum(floor(exact)) OVER ())::INT AS allowed FROM x)
+    SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY k) <= allowed AS is_validation FROM c JOIN a USING (quality)"""
+)
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified_split(table(spark, sf_dir, "labels").select("doc_id", "quality"), "quality", F.col("doc_id"))
+
+
+@query(f"SELECT prompt, model_answer, is_hallucination FROM ({_slice_sql(f'SELECT min(conv_id) AS conv_id, min(turn) AS turn, prompt, model_answer, is_hallucination FROM ({BENCH}) GROUP BY ALL', 30, 'random')})")
+def label_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.per_label_limit(bench(spark, sf_dir).select("prompt", "model_answer", "is_hallucination").distinct(), 30)
+
+
+_RISKS = (("h", "0.0"), ("n", "0.0"), ("e", "0.0"), ("inv_r", "0.5"), ("u", "0.0"), ("c", "0.0"), ("x", "0.0"), ("inv_q", "0.5"), ("inv_s", "0.5"), ("m", "0.0"))
+
+
+@query(f"WITH {S.features(QA, 'conv_id, turn')} SELECT conv_id, turn, {', '.join(f'{v}::DOUBLE AS {k}' for k, v in _RISKS)}, {', '.join(f'round({n}::FLOAT::DOUBLE, 5) AS {n}' for n in L.TEXT_FEATURES)} FROM f")
+def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.score(qa(spark, sf_dir))
+    return out.select("conv_id", "turn", *(F.round(F.get("features", F.lit(i)).cast("double"), 5).alias(n) for i, n in enumerate((*L.AUDIT_FEATURES, *L.TEXT_FEATURES))))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'http_' || (400 + event_id % 200) WHEN event_id % 7 < 5 THEN ['timeout', 'connection_error', 'missing_api_key', 'local_rate_limited', 'disabled'][1 + event_id % 7] ELSE 'invalid_json' END AS status FROM events")
+def error_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("timeout", "connection_error", "missing_api_key", "local_rate_limited", "disabled", "something else", "")))
+    code = F.when(F.col("event_id") % 4 == 0, 400 + F.col("event_id") % 200)
+    return table(spark, sf_dir, "events").select("event_id", Q.error_status(code, F.get(kinds, (F.col("event_id") % 7).cast("int"))).alias("status"))
+
+
+@query(f"SELECT doc_id, {_digest_sql('t', 'years')} FROM (SELECT doc_id, {S.runs('text', L.YEAR)} AS t FROM ({TEXTS}))")
+def tokens_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).withColumn("_t", T.years(F.col("text"))).select("doc_id", *_digest(F.col("_t"), "years"))
+
+
+#: What a nation stands for in each kind of binding: names as SQL expressions of (name, region, key).
+_BOUND = {"countryLabel": "n_name", "capitalLabel": "r_name", "currencyLabel": "r_name", "languageLabel": "r_name", "personLabel": "n_name", "workLabel": "n_name", "authorLabel": "r_name", "elementLabel": "n_name", "symbol": "substr(n_name, 1, 2)"}
+
+
+def _harvest_sql() -> str:
+    parts = []
+    for i, (name, kind, prompt, answer) in enumerate(ingest.SPECS):
+        def filled(t: str) -> str:
+            t = _q(t)
+            for k, e in {**_BOUND, "dob_year": "(1900 + n_nationkey)::VARCHAR", "dod_year": "(1950 + n_nationkey)::VARCHAR"}.items():
+                t = t.replace("{" + k + "}", f"' || {e} || '")
+            return t
+        parts.append(f"SELECT {i} AS spec, n_nationkey AS o, {filled(prompt)} AS prompt, {filled(answer)} AS answer, '{kind}' AS answer_type, 'wikidata:{name}' AS source FROM nation JOIN region ON r_regionkey = n_regionkey")
+    return f"""WITH a AS ({' UNION ALL '.join(parts)}),
+        u AS (SELECT * FROM a WHERE length(prompt) BETWEEN 12 AND 220 AND length(answer) BETWEEN 8 AND 260 AND prompt NOT IN (SELECT 'Как называется столица ' || n_name || '?' FROM nation WHERE n_regionkey = 0)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY spec, o) AS first FROM u),
+        c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o) AS rn FROM f WHERE first = 1)
+        SELECT prompt, answer, answer_type, source FROM c WHERE rn <= 12"""
+
+
+@query(_harvest_sql())
+def harvest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight kinds of bindings, with dates cut to years, prompts that are known already, and a cap."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    date = lambda year: F.concat((F.lit(year) + F.col("n_nationkey")).cast("string"), F.lit("-03-14T00:00:00Z"))
+    binding = F.create_map(*(x for k, e in _BOUND.items() for x in (F.lit(k), F.expr(e))), F.lit("dob"), date(1900), F.lit("dod"), date(1950))
+    spec = F.explode(F.array(*(F.lit(x[0]) for x in ingest.SPECS))).alias("spec")
+    known = rows.where("n_regionkey = 0").select(F.concat(F.lit("Как называется столица "), "n_name", F.lit("?")).alias("prompt"))
+    return ingest.harvest(rows.select(spec, binding.alias("binding"), F.col("n_nationkey").cast("long").alias("_ord")), 12, known).drop("_ord")
+
+
+_LAYERS = 4
+
+
+@query(
+    f"""WITH z AS (SELECT vec_id, {_LOGITS} AS z FROM embeddings),
+    l AS (SELECT vec_id, list_transform(range(1, {_LAYERS} + 1), lambda i: z[1 + (i - 1) % len(z)]) AS z FROM z),
+    n AS (SELECT vec_id, z, list_transform(z, lambda r: sqrt(list_sum(list_transform(r, lambda x: x * x)))) AS n,
+        list_transform(z, lambda r: list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) AS d FROM l),
+    e AS (SELECT vec_id, n, list_transform(z, lambda r, i: -list_sum(list_transform(r, lambda x: exp(x - list_max(r)) / d[i] * ln(exp(x - list_max(r)) / d[i] + 1e-10)))) AS e FROM n)
+    SELECT vec_id, {', '.join(f'round(n[{i}], 6) AS p{i}, round((n[{i}] + n[{i % _LAYERS + 1}]) / 2, 6) AS a{i}, round(e[{i}], 6) AS e{i}' for i in range(1, _LAYERS + 1))}, round(e[1] - e[{_LAYERS}], 6) AS drop, round(e[{_LAYERS}] / (e[1] + 1e-10), 6) AS ratio FROM e"""
+)
+def probe_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 16 numbers stand for the layers: a layer's answer is its own row and the next layer's, its logits its row."""
+    out = P.internal(_probe_layers(spark, sf_dir), "layers")
+    names = [f"{n}{i}" for i in range(1, _LAYERS + 1) for n in "pae"] + ["drop", "ratio"]
+    return out.select("vec_id", *(F.round(F.get("internal", F.lit(i)), 6).alias(n) for i, n in enumerate(names)))
+
+
+def _probe_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _probe_rows(spark, sf_dir)
+    at = lambda i: F.get("z", (i % F.size("z")).cast("int"))
+    layer = lambda i: F.struct(at(i).alias("prompt"), F.array(at(i), at((i + 1) % _LAYERS)).alias("answers"), F.array(at(i)).alias("lens"))
+    return rows.withColumn("layers", F.transform(F.sequence(F.lit(0), F.lit(_LAYERS - 1)), layer))
+
+
+_LIVE = "list_filter(s.log, lambda x: e.ts - x.ts < 60)"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch(ts) AS ts, event_id AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (
+        SELECT key, ts, tokens, rn, 0.0::DOUBLE AS delay, [{{'ts': ts, 'n': tokens}}] AS log FROM e WHERE rn = 1
+        UNION ALL
+        SELECT key, ts, tokens, rn, delay, CASE WHEN delay = 0 THEN list_append(live, {{'ts': ts, 'n': tokens}}) ELSE live END FROM (
+            SELECT key, ts, tokens, rn, live, CASE WHEN len(live) < 30 AND (len(live) = 0 OR used + tokens <= 6000) THEN 0.0 ELSE greatest(0.0,
+                CASE WHEN len(live) >= 30 THEN 60 - (ts - live[1].ts) ELSE 0.0 END,
+                CASE WHEN len(live) > 0 AND used + tokens > 6000 THEN coalesce(60 - (ts - live[list_filter(range(1, len(live) + 1), lambda i: used - list_sum(list_transform(live[1:i], lambda x: x.n)) + tokens <= 6000)[1]].ts), 60.0) ELSE 0.0 END) END::DOUBLE AS delay
+            FROM (SELECT *, coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) AS used FROM (SELECT e.key, e.ts, e.tokens, e.rn, {_LIVE} AS live FROM s JOIN e ON e.key = s.key AND e.rn = s.rn + 1))))
+    SELECT key, round(ts, 6) AS ts, tokens, round(delay, 5) AS delay FROM s"""
+)
+def limiter_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.to_timestamp("ts")) / 1e6).alias("ts"), F.col("event_id").alias("tokens"))
+    return admit(log, 30, 6000).select("key", *r6("ts"), "tokens", F.round("delay", 5).alias("delay"))
+
+
 # --- without an SQL form -------------------------------------------------------------------------------------------
 
 
@@ -573,10 +717,39 @@ def quality_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_augmented(records(spark, sf_dir)).select("_ord", "variant_type")
 
 
+def _rewrite(df: DataFrame, mode: str) -> DataFrame:
+    """Stands for a model: changes the fact by rule, or adds a clause, or gives nothing to every seventh."""
+    odd = F.crc32(F.concat("prompt", "answer"))
+    plain = F.regexp_replace("answer", r"[.!?]\s*$", "")
+    made = {"negative": mutate(F.col("answer")), "supported_positive": F.concat(plain, F.lit(", as the record of that time and place says.")), "drift_negative": F.concat(mutate(plain), F.lit(", which few people in Norway or Chile have heard of."))}
+    return df.withColumn("rewritten", F.when(odd % 7 > 0, made[mode]))
+
+
+def _qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa(spark, sf_dir).select("prompt", "answer", F.lit(0).alias("label"), F.lit("qa").alias("source"), F.lit("positive").alias("variant_type"), ((F.col("conv_id") + 1000) * 1000 + F.col("turn")).alias("_ord"))
+
+
 @query()
-def limiter_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.to_timestamp("ts")) / 1e6).alias("ts"), F.col("event_id").alias("tokens"))
-    return admit(log, 30, 6000)
+def model_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota and attempt budget are the operator's own."""
+    return ingest.model_negatives(_qa_records(spark, sf_dir), _rewrite, 40).drop("_ord")
+
+
+@query()
+def targeted_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.augment(_qa_records(spark, sf_dir), _rewrite, 20).drop("_ord")
+
+
+@query()
+def probe_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the vector, internal and uncertainty numbers together."""
+    unc = ("mean_lp", "min_lp", "max_lp", "std_lp", "mean_entropy", "max_entropy", "std_entropy", "perplexity", "n_tokens", "first_lp", "mean_top1", "mean_top5")
+    rows = P.uncertainty(P.internal(_probe_layers(spark, sf_dir), "layers"), "z", "ids").withColumn("uncertainty", F.array(*(F.col(c).cast("double") for c in unc)))
+    rows = rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") > 0).cast("int").alias("label")), "vec_id")
+    rows = ml.probe_features(rows, "embedding", ["internal", "uncertainty"], 8).select("vec_id", "label", "features").cache()
+    size = rows.agg(F.max(F.size("features"))).first()[0]
+    model = ml.fit(rows, rows, indices=tuple(range(size)), calibration="none", max_iter=100)
+    return model.predict(rows).select("vec_id", "label", F.round("proba", 6).alias("proba"))
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
