@@ -28,11 +28,17 @@ class Scratch:
         # these outlive the session, so the folder can still be dropped after it has stopped
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._names: set[str] = set()
         _open.add(self)
 
+    def names(self) -> set[str]:
+        """The tables that are there."""
+        return set(self._names)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a frame that reads it. The shuffle files of the write go as soon as it has ended."""
         at = f"{self.path}/{name}"
+        self._names.add(name)
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
@@ -48,7 +54,10 @@ class Scratch:
         """Deletes a table, or the whole folder."""
         path = self._fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self._conf).delete(path, True)
-        if not name:
+        if name:
+            self._names.discard(name)
+        else:
+            self._names.clear()
             _open.discard(self)
 
 
