@@ -81,6 +81,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         found = scratch.save(found.join(to("root"), "root", "left").select("node", F.coalesce("root2", "root").alias("root")), f"{name}-r{k}")
         moved = edges.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
         edges = scratch.save(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-e{k}")
+        for old in (f"e{k - 1}", f"r{k - 1}", f"u{k}", f"v{k}"):
+            scratch.drop(f"{name}-{old}")
+    scratch.drop(f"{name}-e{k}")
     return found
 
 

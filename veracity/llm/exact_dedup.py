@@ -137,6 +137,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         trie.append({(r["node"], bytes(r["chunk"])): nodes + 1 + i for i, r in enumerate(heavy)})
         nodes += len(heavy)
 
+    scratch.drop("leading")
     frozen = tuple(trie)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

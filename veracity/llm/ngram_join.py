@@ -247,6 +247,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = spread(spark, banded.count(), 500_000)
     edges = dealt.repartition(rows, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").mapInArrow(prune, "a long, b long")
     near = components(edges, scratch, "near")
+    scratch.drop("bands")
 
     # verification: differences from the component's smallest node, then blocks against each other
     sized = near.join(unique.select(F.col("_rid").alias("node"), "_size", "_sig"), "node").join(sets.select(F.col("_rid").alias("node"), "_copies"), "node")
@@ -297,6 +298,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     links = dealt.repartition(rows, "root", "_i", "_j").sortWithinPartitions("root", "_i", "_j").mapInArrow(verify, "a long, b long, links long")
     links = scratch.save(links, "links")
     linked = components(links, scratch, "linked")
+    scratch.drop("apart")
 
     # from sets to rows, by way of the batches' representatives
     total = links.groupBy(F.col("b").alias("_set")).agg(F.sum("links").alias("_links"))
@@ -306,6 +308,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     best = F.min(F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_rid").alias("rid")))
     # written, so that the join below deals out its own sides and AQE can split a large class
     classes = scratch.save(each.groupBy("_class").agg(F.count("*").alias("_size"), best.alias("_best")), "classes")
+    for name in scratch.names() - {"docs", "rows", "classes"}:  # what the results read
+        scratch.drop(name)
     out = each.join(classes, "_class").select(
         F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_size").alias("class_size"), (F.col("_links") + F.col("_copies") - 1).alias("n_links"), (F.col("_copies") - 1).alias("n_same"), (F.col("_rid") == F.col("_best.rid")).alias("kept"),
     )

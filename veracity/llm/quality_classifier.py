@@ -163,6 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, words
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.binary()), "y": b["_label"], "part": b["_part"]})
 
     got = sample.mapInArrow(features, "x binary, y int, part int").toPandas().sort_values(["part", "x", "y"])
+    scratch.drop("sample")
     width = DIM + SHAPES + 4
     x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(-1, width).astype(np.float64)
     y, apart = (got["y"].to_numpy() == 1).astype(float), got["part"].to_numpy() < 2

@@ -149,6 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, word
             yield pa.RecordBatch.from_pydict({"at": pa.array([c.astype("<i4").tobytes() for c, _ in found], pa.binary()), "x": pa.array([v.tobytes() for _, v in found], pa.binary()), "y": b["_label"]})
 
     got = sample.mapInArrow(rows_of, "at binary, x binary, y int").toPandas().sort_values(["at", "x", "y"])
+    scratch.drop("sample")
     found = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v)) for c, v in zip(got["at"], got["x"], strict=True)]
     weights, thresholds = fit_ordinal(matrix(found, len(vocabulary)), got["y"].to_numpy(), 3)
     return OrdinalModel(vocabulary, weights, thresholds)

@@ -288,7 +288,9 @@ def write_shards(docs: DataFrame, *, tokenizer: str, end: int = 0, shard_tokens:
     # the ranges are sampled from the two narrow columns; ids cross the network once
     total = encoded.agg(F.sum("_n")).first()[0] or 0
     dealt = encoded.repartitionByRange(spread(spark, total, 16 * shard_tokens), F.asc_nulls_first("_id"), "_rid").sortWithinPartitions(F.asc_nulls_first("_id"), "_rid")
-    return scratch.save(dealt.mapInArrow(shards, "part long, shard long, n_tokens long, file binary"), "shards")
+    written = scratch.save(dealt.mapInArrow(shards, "part long, shard long, n_tokens long, file binary"), "shards")
+    scratch.drop("encoded")
+    return written
 
 
 def read_shards(files: DataFrame, id_col: str = "doc_id", id_type: str = "long", with_ids: bool = True, end: int = 0) -> DataFrame:
