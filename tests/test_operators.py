@@ -408,3 +408,136 @@ def test_cli_stages(spark, tmp_path):
     io.write_csv(bench, at("bench"))
     cli.main(["evaluate", "--csv-path", at("bench"), "--output-path", at("scored"), "--checkpoint-every", "5"])
     assert spark.read.parquet(at("scored")).count() == 12
+
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no tables")
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    """The records of the tables, and the token sets of a text, restated."""
+    import re
+
+    from veracity.functions import lexicon as L
+    from veracity.plans import catalogue
+
+    def stem(w):
+        w = w.lower()
+        for s in L.SUFFIXES_BUILDING if len(w) > 4 else ():
+            if w.endswith(s) and len(w) - len(s) >= 4:
+                return w[: -len(s)]
+        return w
+
+    words = lambda t: re.findall(r"\b[\w\-]+\b", t)
+    salient = lambda t: {stem(w) for w in words(t) if len(w) > 1 and w.lower() not in L.NOISE_TOKENS}
+    numbers = lambda t: {x.replace(",", ".") for x in re.findall(r"\b\d+(?:[.,]\d+)?\b", t)}
+    symbols = lambda t: set(re.findall(r"\b[A-Z][A-Za-z0-9]{0,4}\b", t))
+    joined = lambda t: " ".join(map(stem, words(t)))
+    same = lambda a, b: salient(a) == salient(b) and numbers(a) == numbers(b) and symbols(a) == symbols(b)
+    return catalogue.records(spark, SF).orderBy("_ord").collect(), salient, numbers, symbols, joined, same
+
+
+@needs_tables
+def test_quality_ratio_query(spark, plain):
+    from veracity.plans import catalogue
+
+    rows, salient, numbers, _, joined, same = plain
+    refs = {r.prompt: r.answer for r in rows if r.label == 0}
+
+    def stays(r):
+        ref = refs.get(r.prompt, "")
+        if r.variant_type != "groq_negative" or not ref:
+            return True
+        n, m = len(ref.split()), len(r.answer.split())
+        if m < 2 or m > max(14, int(n * 1.45) + 2) or joined(ref) == joined(r.answer) or same(ref, r.answer) or (r.answer.count(",") > ref.count(",") + 1 and m > n + 6):
+            return False
+        ratio = difflib.SequenceMatcher(None, joined(ref), joined(r.answer)).ratio()
+        return not (ratio >= 0.96 and numbers(ref) == numbers(r.answer) and len(salient(ref) ^ salient(r.answer)) <= 1)
+
+    assert {r._ord for r in catalogue.quality_ratio(spark, SF).collect()} == {r._ord for r in rows if stays(r)}
+
+
+@needs_tables
+def test_quality_augmented_query(spark, plain):
+    from veracity.plans import catalogue
+
+    rows, salient, numbers, symbols, joined, same = plain
+    refs = {r.prompt: r.answer for r in rows if r.label == 0 and r.variant_type != "groq_supported_positive"}
+
+    def stays(r):
+        ref, new = refs.get(r.prompt, ""), r.answer
+        if not ref or r.variant_type not in ("groq_supported_positive", "groq_drift_negative"):
+            return True
+        n, m, ends = len(ref.split()), len(new.split()), new.strip().endswith((".", "!", "?"))
+        if r.variant_type == "groq_supported_positive":
+            kept = not salient(ref) or len(salient(ref) & salient(new)) / len(salient(ref)) >= 0.6
+            return bool(new.strip() and ref.strip() != new.strip() and n + 2 < m <= max(22, int(n * 2.6) + 8) and kept and numbers(ref) <= numbers(new) and symbols(ref) <= symbols(new) and ("," in new or "." in new) and ends)
+        flat = new.count(",") == 0 and new.count(".") <= ref.count(".")
+        fits = max(4, n + 2) <= m <= max(28, int(n * 3.0) + 12) and joined(ref) != joined(new) and not same(ref, new) and not flat and ends and salient(new) - salient(ref)
+        return bool(fits) and difflib.SequenceMatcher(None, joined(ref), joined(new)).ratio() < 0.985
+
+    assert {r._ord for r in catalogue.quality_augmented(spark, SF).collect()} == {r._ord for r in rows if stays(r)}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["lr_scores", "isotonic_scores", "sigmoid_scores"])
+def test_score_queries(spark, name):
+    """A fitted model is a fixed point: probabilities rise with the margin, the mean of the training rows' weighted residuals is nil,
+    and an isotonic calibrator has the pooled means of the validation rows."""
+    from veracity.plans import catalogue
+
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    plainly = {r._ord: r.proba for r in catalogue.QUERIES["lr_scores"](spark, SF).collect()}
+    assert rows and all(0 <= r.proba <= 1 for r in rows) and len({r._ord for r in rows}) == len(rows)
+    by = sorted((plainly[r._ord], r.proba) for r in rows)
+    assert all(a[1] <= b[1] + 1e-5 for a, b in zip(by, by[1:]) if b[0] - a[0] > 1e-5)
+    if name == "lr_scores":
+        weights = {r._ord: r.weight for r in catalogue.metrics.normalised_weights(catalogue.records(spark, SF)).collect()}
+        train = [r for r in rows if not r.is_validation]
+        n = {y: sum(r.label == y for r in train) for y in (0, 1)}
+        assert abs(sum(weights[r._ord] / n[r.label] * (r.label - r.proba) for r in train)) < 1e-3  # the intercept's condition
+    if name == "isotonic_scores":
+        held = [r for r in rows if r.is_validation]
+        assert len({r.proba for r in held}) <= len(held) and sum(r.proba for r in held) == pytest.approx(sum(r.label for r in held), abs=0.35 * len(held))
+
+
+@needs_tables
+def test_selection_and_component_queries(spark):
+    from veracity.plans import catalogue
+
+    found = {r.variant: r for r in catalogue.variant_selection(spark, SF).collect()}
+    best = max(found, key=lambda v: (found[v].average_precision, -int(v[1:])))
+    assert set(found) == {"v1", "v2", "v3", "v4"} and [v for v in found if found[v].selected] == [best]
+    for name in ("pca_lr", "probe_lr"):
+        rows = catalogue.QUERIES[name](spark, SF).collect()
+        good, bad = [r.proba for r in rows if r.label], [r.proba for r in rows if not r.label]
+        assert len(rows) == 500 and all(0 <= r.proba <= 1 for r in rows)
+        if good and bad:
+            assert sum(a > b for a in good for b in bad) >= 0.45 * len(good) * len(bad)
+
+
+@needs_tables
+def test_components_are_numpys(spark):
+    import numpy as np
+
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = ml.centred_pca(df, "embedding", 4).collect()
+    x = np.array([r.embedding for r in rows], float)
+    x -= x.mean(0)
+    own = x @ np.linalg.svd(x, full_matrices=False)[2][:4].T
+    got = np.array([r.pca for r in rows])
+    assert np.allclose(np.abs(got), np.abs(own), atol=1e-6)
+
+
+@needs_tables
+def test_quota_queries(spark):
+    from veracity.plans import catalogue
+
+    pairs = catalogue._qa_records(spark, SF).collect()
+    made = catalogue.model_negatives(spark, SF).collect()
+    assert len(made) <= 40 and len({(r.prompt, r.answer) for r in made}) == len(made) and {(r.label, r.variant_type) for r in made} <= {(1, "groq_negative")}
+    assert {r.prompt for r in made} <= {r.prompt for r in pairs} and not {(r.prompt, r.answer) for r in made} & {(r.prompt, r.answer) for r in pairs}
+    out = catalogue.targeted_augment(spark, SF).groupBy("variant_type").count().collect()
+    n = {r.variant_type: r["count"] for r in out}
+    assert n["positive"] == len(pairs) and all(n.get(v, 0) <= 20 for v in ("groq_supported_positive", "groq_drift_negative"))
