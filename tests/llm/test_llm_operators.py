@@ -642,3 +642,54 @@ def test_toxicity_held_out(spark):
     got = [(r.severity, labels[r.doc_id]) for r in queries.op6_toxicity(spark, SF).collect() if labels.get(r.doc_id) is not None and held_out(r.doc_id)]
     bad, good = [s for s, y in got if y], [s for s, y in got if not y]
     assert sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good)) > 0.85
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_quality_classifier_query_held_out(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = queries.op8_quality_classifier(spark, SF).collect()
+    docs_ = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(docs_) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == held_out(r.doc_id) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_queries_over_whole_tables(spark):
+    """The registered queries against the library, text by text."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    before = 0
+    for r in sorted(queries.op10_wavelet_tokens(spark, SF).collect(), key=lambda r: r.doc_id):
+        ids = ids_of(BYTE_BPE, rows[r.doc_id], 0)
+        assert (r.start, r.n_tokens, r.ids_crc32, r.first_id, r.n_end) == (before, len(ids), zlib.crc32(ids.tobytes()), ids[0], int((ids == 0).sum()))
+        before += len(ids)
+    pieces_ = defaultdict(list)
+    for r in queries.op7_hilbert_packing(spark, SF).collect():
+        pieces_[r.doc_id].append(r)
+    assert set(pieces_) == set(rows)
+    for d, own in pieces_.items():
+        ids = ids_of(WORD_BPE, rows[d], 2)
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()] and sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.offset + r.length <= 4096 for r in own)
+    for r in queries.op2_sentencepiece_nbest(spark, SF).collect():
+        assert r.round_trip and r.n_best == len(r.nbest) and r.nbest[0]["ids"] == r.ids
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_ngram_join_query_is_brute_force(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sets = {}
+    for d, t in rows:
+        w = t.encode().split()
+        k = min(5, len(w))
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else frozenset()
+    by = sorted(rows, key=lambda r: len(sets[r[0]]))
+    links = Counter()
+    for i, (a, _) in enumerate(by):
+        for b, _ in by[i + 1 :]:
+            if len(sets[a]) < 0.8 * len(sets[b]):
+                break
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.update((a, b))
+    assert {r.doc_id: r.n_links for r in queries.op9_ngram_join(spark, SF).collect()} == {d: links[d] for d, _ in rows}
