@@ -1,6 +1,7 @@
 """Each operator on awkward rows, and against a plain restatement of what it computes."""
 
 import base64
+import functools
 import hashlib
 import json
 import math
@@ -338,10 +339,15 @@ def test_secrets_base_columns(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
 
 
-def ids_of(path, text, end):
+@functools.cache
+def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return np.array([*t.encode(text, add_special_tokens=False).ids, end], "<u4")
+    return t
+
+
+def ids_of(path, text, end):
+    return np.array([*tokenizer(path).encode(text, add_special_tokens=False).ids, end], "<u4")
 
 
 def test_packing(docs, none):
