@@ -404,6 +404,11 @@ def test_cli_stages(spark, tmp_path):
     assert count("c") == {"positive": 12}
     cli.main(["external", "--seed-path", at("seeds"), "--main-seed-path", at("absent"), "--main-path", at("c"), "--output-path", at("d"), "--seed-output-path", at("e")])
     assert count("d") == {"positive": 12} and io.read_jsonl(spark, at("e"), io.SEED).count() == 12
+    found = spark.createDataFrame([("country_capital", {"countryLabel": c, "capitalLabel": "Город"}) for c in ("Франция", "Испания", "Чили")], io.BINDING)
+    io.write_jsonl(found, at("bindings"))
+    io.write_jsonl(spark.createDataFrame([("Как называется столица Чили?", "Столица Чили — Сантьяго.", "place", "own")], io.SEED), at("known"))
+    cli.main(["build", "--stage", "seed-harvest", "--seed-path", at("bindings"), "--resume-path", at("known"), "--output-path", at("f")])
+    assert sorted(r.answer for r in io.read_jsonl(spark, at("f"), io.SEED).collect()) == ["Столица Испания — Город.", "Столица Франция — Город.", "Столица Чили — Сантьяго."]
     bench = seeds.select("prompt", F.col("answer").alias("model_answer"), F.lit(1).alias("is_hallucination"))
     io.write_csv(bench, at("bench"))
     cli.main(["evaluate", "--csv-path", at("bench"), "--output-path", at("scored"), "--checkpoint-every", "5"])
@@ -541,3 +546,10 @@ def test_quota_queries(spark):
     out = catalogue.targeted_augment(spark, SF).groupBy("variant_type").count().collect()
     n = {r.variant_type: r["count"] for r in out}
     assert n["positive"] == len(pairs) and all(n.get(v, 0) <= 20 for v in ("groq_supported_positive", "groq_drift_negative"))
+
+
+def test_split_report(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.2), (1, 0.4, 0.1), (0, 0.6, 0.3), (0, 0.1, 2.0)], "label int, proba double, t double")
+    got = ml.split_report(df, seconds="t")
+    assert (got["rows"], got["positives"], got["accuracy"]) == (4, 2, 0.5) and got["average_precision"] == pytest.approx(0.5 + 0.5 * 2 / 3)
+    assert got["p99"] == pytest.approx(0.3 + 0.97 * 1.7) and not got["in_time"] and ml.split_report(df.where("t < 1"), seconds="t")["in_time"]

@@ -62,7 +62,8 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> None:
         print({"rows": io.read_jsonl(spark, a.output_path, io.SEED if a.stage == "seed-harvest" else io.RECORD).count()})
 
     if a.stage == "seed-harvest":
-        return save(ingest.harvest(io.read_jsonl(spark, a.seed_path, io.BINDING), a.per_spec))
+        known = io.read_jsonl_or_empty(spark, a.resume_path, io.SEED) if a.resume_path else io.ordered(spark.createDataFrame([], io.SEED))
+        return save(known.unionByName(ingest.harvest(io.read_jsonl(spark, a.seed_path, io.BINDING), a.per_spec, known).select(known.columns)))
     old = io.read_jsonl_or_empty(spark, a.resume_path, io.RECORD) if a.resume_path else None
     if a.stage == "targeted-augment":
         return save(ingest.augment(old if old is not None else io.read_jsonl(spark, a.dataset_path, io.RECORD), _rewrites(spark, a), a.limit or 120))
